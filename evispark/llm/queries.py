@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import lookalike, mojibake, residue, split
+from evispark.llm import lookalike, mojibake, page_body, residue, site_lines, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# 1: lines repeated across one site's documents
+
+
+def _repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.repeated_lines(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "sources"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeated_lines(spark, sf_dir).select("municipality_id", "line")
+
+
+def p1_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeated_lines(spark, sf_dir).select("municipality_id", "line", "n_documents", "n_clusters", "n_days")
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.without_repeated_lines(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "sources"), _repeated_lines(spark, sf_dir))
+
+
 # 2: template residue and error pages
 
 
@@ -27,6 +46,17 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(_table(spark, sf_dir, "chunks"))
 
 
+# 3: page boilerplate
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_body.label_lines(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "sources"), furniture_only=True).select("document_id", "line_no")
+
+
+def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_body.page_bodies(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "sources"))
+
+
 # 4: visually identical text
 
 

@@ -19,7 +19,7 @@ ERROR_PHRASES = (
     # Swedish
     "ett oväntat fel har inträffat", "ett fel har inträffat", "ett fel uppstod", "fel uppstod", "något gick fel", "prova att ladda om", "försök igen senare",
     "sidan kunde inte hittas", "sidan saknas", "sidan finns inte", "sidan hittades inte", "kunde inte hitta sidan", "dokumentet är borttaget eller flyttat", "sök i arkivet",
-    "sessionen har gått ut", "logga in på nytt", "du saknar behörighet", "åtkomst nekad", "åtkomst nekad för besökare", "tjänsten är tillfälligt stängd",
+    "sessionen har gått ut", "för många anrop", "för många anrop från din adress", "logga in på nytt", "du saknar behörighet", "åtkomst nekad", "åtkomst nekad för besökare", "tjänsten är tillfälligt stängd",
     "tjänsten är inte tillgänglig", "underhåll pågår", "hoppsan, här var det tomt", "the request", "could not be completed by the host", "adressen", "felkod", "felmeddelande", "serverfel", "internt serverfel",
     # English
     "page not found", "not found", "error", "internal server error", "service unavailable", "bad gateway", "gateway timeout", "gateway time-out", "upstream did not answer",
