@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import lookalike, mojibake, page_body, residue, site_lines, split
+from evispark.llm import lookalike, mojibake, page_body, residue, site_lines, spans, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +100,17 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_items(_table(spark, sf_dir, "chunks"))
 
 
+# 9: long exact spans
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(_table(spark, sf_dir, "documents")).pairs()
+
+
+def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(_table(spark, sf_dir, "documents")).shared()
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit() and callable(f)}
 
