@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import lookalike, mojibake, page_body, residue, site_lines, spans, split
+from evispark.llm import lookalike, mix, mojibake, pack, page_body, residue, site_lines, spans, split, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +100,38 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_items(_table(spark, sf_dir, "chunks"))
 
 
+# 7: containers of fixed capacity
+
+
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return {r["name"]: r["capacity_tokens"] for r in _table(spark, sf_dir, "pack_sizes").collect()}
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.token_counts(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return pack.pack_all(sizes, _capacities(spark, sf_dir))
+
+
+def p7_use_of_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.use_of_space(p7_packed(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+# 8: mixing sources
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = tokens.token_counts(_table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    return mix.mix(sizes, _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
 # 9: long exact spans
 
 
