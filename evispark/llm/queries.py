@@ -148,6 +148,14 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    windows = """WITH c AS (SELECT DISTINCT document_id, "start" AS s, text FROM chunks WHERE text IS NOT NULL),
+w AS (SELECT *, coalesce(max(s + length(text)) OVER (PARTITION BY document_id ORDER BY s, length(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM c),
+d AS (SELECT document_id, string_agg(substring(text, greatest(done - s, 0) + 1), '' ORDER BY s, length(text)) AS text FROM w GROUP BY document_id),
+l AS (SELECT document_id, unnest(string_split(text, chr(10))) AS line FROM d),
+n AS (SELECT DISTINCT document_id, trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ') AS line FROM l),
+m AS (SELECT DISTINCT id, municipality_id FROM sources WHERE municipality_id IS NOT NULL)
+"""
     return {
+        "p1_found": windows + "SELECT municipality_id, line FROM n JOIN m ON m.id = n.document_id WHERE length(line) >= 40 GROUP BY ALL HAVING count(DISTINCT document_id) >= 5",
         "p6_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(text) > 2400",
     }
