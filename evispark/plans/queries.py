@@ -450,3 +450,84 @@ def lexicon_counts(spark, sf_dir):
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(?:äldreomsorg|hemtjänst|särskil(?:t|da)\s+boende|äldreboende|vård-\s+och\s+omsorgsboende|omsorgsboende|korttidsboende|dagverksamhet|trygghetslarm|serviceboende|demensboende|äldre\s+personer($|[^\p{L}\p{N}_]))')")
 def care_filter(spark, sf_dir):
     return notices.is_elderly_care(_t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("description"))).select("doc_id")
+
+
+# --- literal inputs: pages, notices and chains that no table holds ---------------------------------------------------
+
+_PAGE = """<html><head><title>Avtal &amp; villkor</title><script>x()</script></head><body><nav><a href="/">Hem</a></nav><main><h1>Villkor</h1><p>Hemtjänst <b>i</b> Berga.</p><a href="/a.pdf?v=1">Karta</a><a href="underlag.PDF">Förfrågningsunderlag</a><a href="/a.pdf?v=1">Igen</a></main><footer>Kontakt</footer></body></html>"""
+_ADVERT = """<html><body><main><h1>Hemtjänst enligt LOV</h1><dl><dt>Upphandlande myndighet</dt><dd>Berga kommun</dd><dt>Diarienummer:</dt><dd>SN 2024/1</dd></dl><a href="https://berga.example/lov.pdf">Underlag</a><a href="/om">Om portalen</a></main></body></html>"""
+_LISTING = """<a href="/hitta-lov-uppdrag/annonser/berga/hemtjanst">A</a><a href="https://www.upphandlingsmyndigheten.se/hitta-lov-uppdrag/annonser/berga/hemtjanst/">A</a><a href="/hitta-lov-uppdrag/annonser/">alla</a><a href="https://annan.example/hitta-lov-uppdrag/annonser/x/y/">B</a>"""
+
+
+def _pages(spark, html: str, url: str = "https://berga.example/sida/") -> DataFrame:
+    return spark.createDataFrame([(url, html)], "url string, html string")
+
+
+@query("""SELECT 'https://berga.example/sida/' AS url, 'Avtal & villkor' AS title, 'html' AS kind, 'Villkor' || chr(10) || 'Hemtjänst' || chr(10) || 'i' || chr(10) || 'Berga.' || chr(10) || 'Karta' || chr(10) || 'Förfrågningsunderlag' || chr(10) || 'Igen' AS text""")
+def page_text(spark, sf_dir):
+    from evispark.operators import pages
+
+    return pages.extract(_pages(spark, _PAGE)).select("url", "title", "kind", "text")
+
+
+@query("""SELECT * FROM (VALUES (1, 'https://berga.example/', 'Hem'), (2, 'https://berga.example/a.pdf?v=1', 'Karta'), (3, 'https://berga.example/sida/underlag.PDF', 'Förfrågningsunderlag'), (4, 'https://berga.example/a.pdf?v=1', 'Igen')) v(link_no, target, label)""")
+def page_links(spark, sf_dir):
+    from evispark.operators import pages
+
+    return pages.anchors(_pages(spark, _PAGE)).select("link_no", "target", "label")
+
+
+@query("""SELECT * FROM (VALUES (1, 'https://berga.example/sida/underlag.PDF'), (2, 'https://berga.example/a.pdf?v=1')) v(rank, target)""")
+def pdf_link_rank(spark, sf_dir):
+    from evispark.operators import pages
+
+    return pages.pdf_links(_pages(spark, _PAGE)).select("rank", "target")
+
+
+@query("""SELECT 1 AS rank, 'https://www.upphandlingsmyndigheten.se/hitta-lov-uppdrag/annonser/berga/hemtjanst/' AS target""")
+def lov_advert_urls(spark, sf_dir):
+    from evispark.operators import pages
+
+    return pages.advert_links(_pages(spark, _LISTING, "https://www.upphandlingsmyndigheten.se/hitta-lov-uppdrag/")).select("rank", "target")
+
+
+@query("""SELECT 'Hemtjänst enligt LOV' AS title, 'Berga kommun' AS buyer_name, 'SN 2024/1' AS reference, 'https://berga.example/lov.pdf' AS document_links""")
+def lov_adverts(spark, sf_dir):
+    from evispark.operators import pages
+
+    return pages.adverts(_pages(spark, _ADVERT, "https://www.upphandlingsmyndigheten.se/hitta-lov-uppdrag/annonser/berga/hemtjanst/")).select("title", "buyer_name", "reference", F.array_join("document_links", "|").alias("document_links"))
+
+
+@query("""SELECT unnest(['https://a.example/1', 'https://a.example/2?x=1&y=2']) AS loc""")
+def sitemap_locs(spark, sf_dir):
+    from evispark.operators import pages
+
+    xml = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://a.example/1 </loc></url><s:url xmlns:s="x"><s:loc>https://a.example/2?x=1&amp;y=2</s:loc></s:url></urlset>'
+    bad = "<!DOCTYPE x><urlset><url><loc>https://b.example/</loc></url></urlset>"
+    return spark.createDataFrame([(xml,), (bad,)], "xml string").select(F.explode(pages.sitemap_locations(F.col("xml"))).alias("loc"))
+
+
+@query("""SELECT 'N1' AS notice_id, '2021-03-04' AS publication_date, 'Berga | Dal' AS buyer_name, 'Berga' AS municipality_name, 'Hemtjänst' AS title, '85311100 | 85312100' AS cpv, 'Hemtjänst' || chr(10) || 'lott' AS description, 'https://d.example/u.pdf' AS document_urls, 'https://ted.europa.eu/sv/notice/-/detail/N1' AS source_url""")
+def ted_rows(spark, sf_dir):
+    notice = '{"publication-number": "N1", "publication-date": "2021-03-04+01:00", "notice-title": {"eng": "Care", "swe": ["Hemtjänst"]}, "buyer-name": ["Berga", "", "Dal"], "buyer-city": {"swe": "Berga"}, "classification-cpv": ["85311100", "85312100"], "title-lot": [null, "lott"], "document-url-lot": ["se https://d.example/u.pdf", "https://d.example/u.pdf"]}'
+    rows = notices.ted_rows(spark.createDataFrame([(notice,)], "notice string"))
+    return rows.select("notice_id", "publication_date", "buyer_name", "municipality_name", "title", "cpv", "description", F.array_join("document_urls", "|").alias("document_urls"), "source_url")
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS flat FROM events""")
+def ted_flatten(spark, sf_dir):
+    from evispark.functions.jsonish import flatten_json
+
+    return _t(spark, sf_dir, "events").select("event_id", flatten_json("props").alias("flat"))
+
+
+@query("""SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 1), ('d', 2)) v(url, depth)""")
+def crawl_reachability(spark, sf_dir):
+    links = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("d", "a"), ("d", "e"), ("c", "d")], "url string, target string")
+    return discovery.reachable(links, spark.createDataFrame([("a",)], "url string"), 2)
+
+
+@query("""SELECT * FROM (VALUES ('m', 1, 'a', 0, 5, true), ('m', 2, 'c', 1, 9, true), ('m', 3, 'd', 2, 7, false), ('m', 4, 'b', 1, 1, true)) v(entity, step, url, depth, score, found)""")
+def crawl_best_first(spark, sf_dir):
+    pages_ = spark.createDataFrame([("m", "a", [("b", 1), ("c", 9)]), ("m", "c", [("d", 7), ("a", 100)]), ("m", "b", [("e", 3)])], "entity string, url string, links array<struct<url:string,score:int>>")
+    return discovery.crawl(pages_, spark.createDataFrame([("m", "a", 5)], "entity string, url string, score int"), 4, 2)
