@@ -49,7 +49,7 @@ def fold(text: str) -> str:
     for c in _IGNORABLE.sub("", text):
         if c in HYPHENS:
             out.append(HYPHENS[c])
-        elif c >= "\x80" and (d := unicodedata.decomposition(c)).startswith(("<wide>", "<narrow>", "<noBreak>", "<compat>")) and (c.isspace() or not d.split(None, 1)[1].startswith("0020")) and c != "ſ":
+        elif c >= "\x80" and (d := unicodedata.decomposition(c)).startswith(("<wide>", "<narrow>", "<noBreak>", "<compat>")) and (c.isspace() or not d.split(None, 1)[1].startswith("0020")) and c not in _CLASS and c != "ſ":
             out.append(unicodedata.normalize("NFKC", c))
         else:
             out.append(c)
@@ -84,6 +84,7 @@ class Lattice:
                 script = _script(option)
                 for (last, was), (score, path) in states.items():
                     s = score + self.bigrams.get(last + option, self.unseen) - (SCRIPT_CHANGE if script and was and script != was else 0.0)
+                    s -= 0.001 * (script not in ("", "Latin"))  # ties go to Latin letters
                     key = (option if script else last, script or was)
                     if key not in step or (s, path + option) > step[key]:
                         step[key] = (s, path + option)

@@ -130,6 +130,8 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
 
 def pack_all(sizes: DataFrame, capacities: dict[str, int]) -> DataFrame:
     """:func:`pack` once for each named capacity: ``pack_name`` and its columns. The sizes are computed once."""
+    if not capacities:
+        raise ValueError("no capacities given")
     sizes = write_table(sizes.select("doc_id", "n_tokens"), "sizes")
     parts = [pack(sizes, c).select(F.lit(name).alias("pack_name"), "*") for name, c in sorted(capacities.items())]
     out = parts[0]

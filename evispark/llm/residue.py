@@ -49,6 +49,8 @@ FILLER_WORDS = (
     "vitae eget arcu porta tortor lacus cursus lectus viverra pharetra mauris sapien massa feugiat ornare blandit"
 ).split()
 FIELD_OPENERS = ("{{", "[[", "${", "<%", "{%", "[todo", "[ange ", "<fyll i", "[infoga", "[fyll i", "<ange ", "<infoga", "[insert ", "<insert ", "xxxx-", "%%", "@@", "«", "#", "{", "undefined", "[object object]", "mergefield", "[%")
+#: Codes of error pages as entries of their breadcrumbs.
+CODES = tuple(f"{mark} {code}" for mark in "/»>|" for code in (403, 404, 500, 503))
 #: Names of fields that may stand between marks which are ordinary punctuation as well.
 FIELD_NAMES = ("kommun_namn", "gatuadress", "kontaktperson", "rubrik", "avtalsnr", "belopp", "datum", "enhet", "namn", "adress", "titel", "name", "title", "date", "address", "amount", "unit", "nimi", "osoite", "otsikko")
 _NAME = r"[A-Za-zÅÄÖåäö_][\wåäö.\-]*"
@@ -73,7 +75,7 @@ COVERAGE = 0.4
 
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, phrases in (("error", ERROR_PHRASES), ("script", SCRIPT_PHRASES), ("sample", SAMPLE_PHRASES), ("field", FIELD_OPENERS), ("filler", ("ipsum", "lorem", "pharetra", "lectus", "viverra", "feugiat", "consectetur", "ornare", "sapien", "blandit", "tortor", "mauris"))):
+    for kind, phrases in (("error", ERROR_PHRASES), ("script", SCRIPT_PHRASES), ("sample", SAMPLE_PHRASES), ("field", FIELD_OPENERS), ("code", CODES), ("filler", ("ipsum", "lorem", "pharetra", "lectus", "viverra", "feugiat", "consectetur", "ornare", "sapien", "blandit", "tortor", "mauris"))):
         for p in phrases:
             a.add_word(p, (kind, p))
     a.make_automaton()
@@ -150,8 +152,9 @@ def find_residue(text: str | None) -> list[tuple[str, int, int]]:
             strong = next(s for s in spans if s[3] not in WEAK_PHRASES)
             found.append((strong[2], strong[0], strong[1]))
     # the code of an error page as an entry of its breadcrumbs
-    for m in re.finditer(r"[/»>|] (?:404|403|500|503)[ \t]*(?:\n|$)", text):
-        found.append(("error", m.start() + 2, m.start() + 5))
+    for at, kind, p in hits:
+        if kind == "code" and not text[at + len(p) :].split("\n", 1)[0].strip():
+            found.append(("error", at + 2, at + len(p)))
     return found
 
 
