@@ -80,11 +80,11 @@ class Lattice:
         states: dict[tuple[str, str], tuple[float, str]] = {("^", ""): (0.0, "")}
         for c in token:
             step: dict[tuple[str, str], tuple[float, str]] = {}
-            for option in _CLASS.get(c, (c,)):
+            for k, option in enumerate(_CLASS.get(c, (c,))):
                 script = _script(option)
                 for (last, was), (score, path) in states.items():
                     s = score + self.bigrams.get(last + option, self.unseen) - (SCRIPT_CHANGE if script and was and script != was else 0.0)
-                    s -= 0.001 * (script not in ("", "Latin"))  # ties go to Latin letters
+                    s -= 0.001 * k  # ties go to the letter that is listed first, the Latin one
                     key = (option if script else last, script or was)
                     if key not in step or (s, path + option) > step[key]:
                         step[key] = (s, path + option)
