@@ -125,5 +125,7 @@ class ReplayPages(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make both formats known to the session, with filters handed down to them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ReplayHttp)
     spark.dataSource.register(ReplayPages)
