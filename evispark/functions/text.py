@@ -25,7 +25,7 @@ def clean(value: str | None) -> str | None:
     if value is None:
         return None
     if not value.isascii():
-        value = unicodedata.normalize("NFC", value).replace("­", "")
+        value = unicodedata.normalize("NFC", value).replace("\u00ad", "")
     value = value.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "")
     value = "\n".join(_BLANKS.sub(" ", line).strip() for line in value.split("\n"))
     return _MANY_LINES.sub("\n\n", value).strip()
