@@ -119,8 +119,9 @@ def find_residue(text: str | None) -> list[tuple[str, int, int]]:
     kinds = {k for _, k, _ in hits}
     if "field" in kinds:
         for m in FIELD.finditer(text):
-            line_start = text.rfind("\n", 0, m.start()) + 1
-            around = text[max(line_start, m.start() - 160) : m.end() + 100].split("\n")[0].translate(_FOLD)
+            left = max(text.rfind("\n", 0, m.start()), text.rfind(". ", 0, m.start())) + 1
+            stops = [k for k in (text.find("\n", m.end()), text.find(". ", m.end())) if k >= 0]
+            around = text[max(left, m.start() - 300) : min([*stops, m.end() + 200])].translate(_FOLD)
             if not QUOTING.search(around):
                 found.append(("field", m.start(), m.end()))
     if "filler" in kinds:
