@@ -61,7 +61,7 @@ FIELD = re.compile(
     re.I,
 )
 #: A sentence with one of these words explains or quotes a field. Accented letters are left open, as they may be damaged.
-QUOTING = re.compile(r"brevmall|mall(?:en|ar|arna)? fr|ers.{1,3}tts f|f.{1,3}ltet|mark.{1,3}ren|byta ut|ta ut m|automatiskt med s|innan den skickas|innan brevet|template field|the field|the placeholder|kentt", re.I)
+QUOTING = re.compile(r"brevmall|mall(?:en|ar|arna)? fr|ers[^\s,]{1,4}tts f|f[^\s,]{1,4}ltet|mark[^\s,]{1,4}ren|byta ut|ta ut m|automatiskt med s|innan den skickas|innan brevet|template field|the field|the placeholder|kentt", re.I)
 _FILLER = "|".join(sorted(FILLER_WORDS, key=len, reverse=True))
 FILLER_RUN = re.compile(rf"\b(?:(?:{_FILLER})\b[\s,.;!?]*){{4,}}", re.I)
 FILLER_SENTENCE = re.compile(rf"^\W*(?:(?:{_FILLER})\b[\s,.;!?]*){{2,}}\W*$", re.I)

@@ -13,7 +13,7 @@ from evispark.llm import residue
         "Meny\nSidan kunde inte hittas\nAdressen https://a.example/b finns inte längre.",
         "Please enable JavaScript to view app-12ab34cd on this site.",
         "Text.\nLorem ipsum dolor sit amet consectetur. Vitae eget arcu porta.",
-        "Beslut i ärende [infoga avtalsnr här] 2025/1. I mallen från 2024 ersätts fältet {{namn}} automatiskt.",
+        "Beslut i Blyremark, ärende [infoga avtalsnr här] 2025/1. I mallen från 2024 ersätts fältet {{namn}} automatiskt.",
         "Rubrik 1 Rubrik 2 Skriv text här",
         "Start > Trafik > 404\nx",
         "503 Service Unavailable – request 0c3b91b82d",
