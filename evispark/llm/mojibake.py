@@ -120,15 +120,23 @@ def _multibyte_spans(text: str) -> tuple[str, list[tuple[int, int]], str | None]
     return (best[1], best[2], best[3]) if best else (text, [], None)
 
 
+@lru_cache(maxsize=None)
+def _dashes(letter: str) -> re.Pattern:
+    return re.compile(rf"(?<=[ \d]){letter}(?=[ \d])|(?<=[a-zåäö]){letter}(?=[A-ZÅÄÖ])")
+
+
 @lru_cache(maxsize=None)
 def _pair_letters(actual: str, read: str) -> tuple[frozenset[str], re.Pattern]:
-    wrong = "".join(w for w, c in _pair(actual, read).items() if c in LETTERS)
-    return frozenset(wrong), re.compile("[" + re.escape(wrong) + "]")
+    pair = _pair(actual, read)
+    wrong = "".join(w for w, c in pair.items() if c in LETTERS)
+    return frozenset(w for w, c in pair.items() if c in LETTERS or c == "–" and w.isalpha()), re.compile("[" + re.escape(wrong) + "]")
 
 
 def _strong_places(text: str, actual: str, read: str) -> list[int]:
-    """Places where only a mistake explains the character: a sign within a word, a capital within small letters."""
-    found = []
+    """Places where only a mistake explains the character: a sign within a word, a capital within small letters, a
+    letter where a dash would stand."""
+    dash = next((w for w, c in _pair(actual, read).items() if c == "–" and w.isalpha()), None)
+    found = [m.start() for m in _dashes(dash).finditer(text)] if dash and dash in text else []
     for m in _pair_letters(actual, read)[1].finditer(text):
         k, c = m.start(), m.group()
         before, after = text[k - 1 : k], text[k + 1 : k + 2]
@@ -148,7 +156,7 @@ def _strong_places(text: str, actual: str, read: str) -> list[int]:
             hi = min(x for x in (text.find("\n", k), text.find(". ", k), len(text)) if x >= 0)
             if not set(text[lo:hi]) & set("åäöÅÄÖ"):
                 found.append(k)
-    return found
+    return sorted(set(found))
 
 
 def _weight(text: str, places: list[int], pair: dict[str, str]) -> float:
@@ -157,7 +165,7 @@ def _weight(text: str, places: list[int], pair: dict[str, str]) -> float:
     for k in places:
         to, before, after = pair[text[k]], text[k - 1 : k], text[k + 1 : k + 2]
         case = to.isupper() == (not before.isalpha() or before.isupper() and not after.islower())
-        total += (1.0 if to in "åäöÅÄÖ" else 0.3) * (1.0 if case else 0.6)
+        total += (1.0 if to in "åäöÅÄÖ–" else 0.3) * (1.0 if case else 0.6)
     return total
 
 
@@ -208,6 +216,7 @@ def _restore(text: str, pair: dict[str, str], strong: list[int]) -> str:
     A sign that stands between spaces is restored only to a sign, so that a dagger or per mille sign of its own stays.
     """
     lines, at, k = text.split("\n"), 0, 0
+    surely = set(strong)
     out = []
     for line in lines:
         end = at + len(line)
@@ -221,7 +230,7 @@ def _restore(text: str, pair: dict[str, str], strong: list[int]) -> str:
                 if to is None:
                     continue
                 beside = line[i - 1 : i].isalpha() or line[i + 1 : i + 2].isalpha()
-                if to in LETTERS and (beside or c.isalpha()) or to in SIGNS and not beside:
+                if at + i in surely or to in LETTERS and (beside or c.isalpha()) or to in SIGNS and not beside:
                     chars[i] = to
             line = "".join(chars)
         out.append(line)
