@@ -29,27 +29,53 @@ def request_key(columns: dict[str, Column]) -> Column:
     return F.sha2(canonical_json(columns), 256)
 
 
-def waits(events: DataFrame, key: str, ts: str, interval: float, order: str) -> DataFrame:
-    """``events`` with ``wait_s``: how long a request had to wait for its key's spacing; 0 for the first of a key."""
-    before = F.lag(F.unix_micros(ts)).over(Window.partitionBy(key).orderBy(ts, order))
-    due = before + F.lit(int(interval * 1e6)) - F.unix_micros(ts)
-    return events.withColumn("wait_s", F.round(F.coalesce(F.greatest(due, F.lit(0)), F.lit(0)) / 1e6, 6))
+def running_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = 1_000_000) -> DataFrame:
+    """``df`` with the sum of ``value`` over a key's rows so far, in the order of a whole-number column.
+
+    A key may hold a large share of all rows, so it isn't one window: rows go by stretches of ``width`` in the order, each
+    summed by itself, and a stretch starts from the total of those before it. Ties in the order count in any order.
+    """
+    parts = df.withColumn("__part", F.floor(F.col(order) / F.lit(width))).withColumn("__value", F.coalesce(value.cast("bigint"), F.lit(0)))
+    sums = parts.groupBy(*keys, "__part").agg(F.sum("__value").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*(F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)), F.col("__part").alias("__at"), before.alias("__before"))
+    here = F.sum("__value").over(Window.partitionBy(*keys, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.col("__part").eqNullSafe(F.col("__at"))
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{n}"))
+    return parts.withColumn("__here", here).join(starts, same).select(*df.columns, (F.col("__before") + F.col("__here")).alias(name))
+
+
+def waits(events: DataFrame, key: str, ts: str, interval: float, order: str, stretch_s: int = 86_400) -> DataFrame:
+    """``events`` with ``wait_s``: how long a request had to wait for its key's spacing; 0 for the first of a key.
+
+    A busy key is worked by stretches of time; a stretch's first request looks at the last one of the stretches before.
+    """
+    micros = F.unix_micros(ts)
+    parts = events.withColumn("__at", micros).withColumn("__part", F.floor(micros / F.lit(stretch_s * 1_000_000)))
+    last = parts.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(F.max("__at").alias("__max"))
+    earlier = last.withColumn("__earlier", F.max("__max").over(Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))).drop("__max")
+    joined = parts.join(earlier, F.col(key).eqNullSafe(F.col("__key")) & F.col("__part").eqNullSafe(F.col("__of")))
+    before = F.coalesce(F.lag("__at").over(Window.partitionBy(key, "__part").orderBy(ts, order)), F.col("__earlier"))
+    due = before + F.lit(int(interval * 1e6)) - F.col("__at")
+    return joined.select(*events.columns, F.round(F.coalesce(F.greatest(due, F.lit(0)), F.lit(0)) / 1e6, 6).alias("wait_s"))
 
 
 def within_budget(events: DataFrame, key: str, order: str, budget: int, costs: Column) -> DataFrame:
     """``events`` with ``calls_so_far`` and ``within_budget``: a running count of those that cost, by key in order."""
-    so_far = F.sum(costs.cast("int")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return events.withColumn("calls_so_far", so_far).withColumn("within_budget", F.col("calls_so_far") <= budget)
+    return running_total(events, [key], order, costs.cast("int"), "calls_so_far").withColumn("within_budget", F.col("calls_so_far") <= budget)
 
 
 def delivered_once(fetches: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``fetches`` with ``attempt`` (rank by order) and ``repeat``: whether an earlier attempt delivered the same.
-
-    The rank comes before the test, so repeats count as attempts.
+    """``fetches`` with ``attempt`` (rank by order within the first key) and ``repeat``: whether an earlier attempt
+    delivered the same keys. The rank comes before the test, so repeats count as attempts.
     """
-    attempt = F.row_number().over(Window.orderBy(order)) if not keys else F.row_number().over(Window.partitionBy(keys[0]).orderBy(order))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return fetches.withColumn("attempt", attempt).withColumn("repeat", nth > 1)
+    first = fetches.groupBy(*(F.col(k).alias(f"__f{n}") for n, k in enumerate(keys))).agg(F.min(order).alias("__first"))
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__f{n}"))
+    marked = fetches.join(first, same).select(*fetches.columns, (F.col(order) > F.col("__first")).alias("repeat"))
+    return running_total(marked, keys[:1], order, F.lit(1), "attempt")
 
 
 def mismatches(manifest: DataFrame, actual: DataFrame, key: str = "path", sha: str = "sha256") -> DataFrame:

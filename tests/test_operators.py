@@ -176,6 +176,28 @@ def test_pacing(spark):
     assert {r["n"]: (r["calls_so_far"], r["within_budget"]) for r in b.collect()} == {1: (1, True), 2: (1, True), 3: (1, True), 4: (2, False)}
 
 
+def test_running_totals_by_stretches(spark):
+    rng = random.Random(8)
+    rows = [(n, rng.choice(["a", "a", "b", None]), rng.choice([0, 1, None])) for n in range(200)]
+    df = spark.createDataFrame(rows, "n int, k string, v int")
+    want, so_far = {}, {}
+    for n, k, v in rows:
+        so_far[k] = so_far.get(k, 0) + (v or 0)
+        want[n] = so_far[k]
+    for width in (7, 1_000_000):
+        assert {r["n"]: r["t"] for r in caches.running_total(df, ["k"], "n", F.col("v"), "t", width).collect()} == want
+    e = df.withColumn("ts", F.timestamp_seconds(F.col("n") * 3))
+    one = {r["n"]: r["wait_s"] for r in caches.waits(e, "k", "ts", 20.0, "n").collect()}
+    assert {r["n"]: r["wait_s"] for r in caches.waits(e, "k", "ts", 20.0, "n", stretch_s=10).collect()} == one
+    assert max(one.values()) == 17.0 and min(one.values()) == 0.0
+
+
+def test_repeats_are_attempts(spark):
+    f = spark.createDataFrame([(1, "m", "u", "s"), (2, "m", "u", "s"), (3, "m", "v", None), (4, "m", "v", None), (5, None, "u", "s")], "n int, m string, u string, s string")
+    got = {r["n"]: (r["attempt"], r["repeat"]) for r in caches.delivered_once(f, ["m", "u", "s"], "n").collect()}
+    assert got == {1: (1, False), 2: (2, True), 3: (3, False), 4: (4, True), 5: (1, False)}
+
+
 def test_summary(spark):
     e = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", "C")], "id string, name string")
     d = spark.createDataFrame([("d1", "1", "u", None), ("d1", "1", "u", None), ("d2", "2", "u", ["w"])], "id string, municipality_id string, url string, warnings array<string>")
