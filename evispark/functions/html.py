@@ -139,6 +139,12 @@ def site_paths(root: Node, base: str, host: str, path: str, depth: int) -> list[
     return list(dict.fromkeys(out))
 
 
+def titled(slug: str) -> str:
+    """``berga-kommun`` as ``Berga kommun``."""
+    first, *rest = [w.capitalize() for w in slug.split("-")]
+    return " ".join([first, *("kommun" if w == "Kommun" else w for w in rest)])
+
+
 def body_text(body: bytes | None, content_type: str | None) -> tuple[str, str]:
     """``(kind, text)``: ``pdf`` (no text without a PDF library), ``html`` or ``unsupported``."""
     start = (body or b"").lstrip()[:200].lower()

@@ -17,18 +17,19 @@ SPACE = r"[\s\x1c-\x1f]"
 CELL_LIMIT, CELL_KEPT, CELL_MARK = 32_000, 31_900, "\n[TRUNCATED; see JSON artifact]"
 
 _BLANKS = re.compile(r"[^\S\n]+")
+_AROUND_FEED = re.compile(r" ?\n ?")
 _MANY_LINES = re.compile(r"\n{3,}")
+_FEEDS = re.compile(r"\r\n?")
+_DELETED = str.maketrans("", "", "\0\u00ad")
 
 
 def clean(value: str | None) -> str | None:
     """NFC, line feeds only, no NUL or soft hyphen, single spaces, at most one blank line in a row, trimmed."""
     if value is None:
         return None
-    if not value.isascii():
-        value = unicodedata.normalize("NFC", value).replace("\u00ad", "")
-    value = value.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "")
-    value = "\n".join(_BLANKS.sub(" ", line).strip() for line in value.split("\n"))
-    return _MANY_LINES.sub("\n\n", value).strip()
+    whole = value if value.isascii() else unicodedata.normalize("NFC", value)
+    whole = _BLANKS.sub(" ", _FEEDS.sub("\n", whole).translate(_DELETED))
+    return _MANY_LINES.sub("\n\n", _AROUND_FEED.sub("\n", whole)).strip()
 
 
 @F.pandas_udf(StringType())
@@ -84,3 +85,9 @@ def canonical_json(columns: dict[str, Column]) -> Column:
 def slug_title(slug: Column) -> Column:
     """``a-b-kommun`` as ``A B kommun``."""
     return F.replace(F.initcap(F.replace(slug, F.lit("-"), F.lit(" "))), F.lit(" Kommun"), F.lit(" kommun"))
+
+
+def last_segment(reference: Column, url: Column) -> Column:
+    """A reference, or the last segment of an address where there is none."""
+    tail = F.element_at(F.split(F.regexp_replace(F.coalesce(url, F.lit("")), "/+$", ""), "/"), -1)
+    return F.coalesce(F.nullif(strip(reference), F.lit("")), tail)

@@ -17,6 +17,28 @@ def replay(requests: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame
     return joined.select(*requests.columns, "response", hit.alias("cache_hit"), F.when(~hit, "not in the cache").alias("error"))
 
 
+def outcome(status: Column, robots: Column | None = None) -> Column:
+    """What an HTTP status means: ``ok``, ``retry`` (429, 500, 502, 503, 504), ``error`` (others from 400), ``none``.
+
+    For fetches of a robots file 401, 403, 404 and 410 are answers, not errors.
+    """
+    code = status.try_cast("int")
+    answer = code.isin(401, 403, 404, 410) & (robots if robots is not None else F.lit(False))
+    return F.when(code.isNull(), "none").when((code < 400) | answer, "ok").when(code.isin(429, 500, 502, 503, 504), "retry").otherwise("error")
+
+
+def passes(units: DataFrame, id_col: str, n: int, models: list[str]) -> DataFrame:
+    """``id_col, pass_no, model``: every unit ``n`` times, the models in turn."""
+    turn = F.get(F.array(*(F.lit(m) for m in models)), F.pmod(F.col("pass_no"), F.lit(len(models))))
+    return units.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pass_no")).withColumn("model", turn)
+
+
+def store_bodies(downloads: DataFrame, most_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """``(bodies, pages)``: every body once by content hash, and the metadata by address; bodies beyond the bound left out."""
+    kept = downloads.where(F.octet_length("body") <= most_bytes).withColumn("sha256", F.sha2(F.col("body").cast("binary"), 256))
+    return kept.select("sha256", "body").dropDuplicates(["sha256"]), kept.drop("body").dropDuplicates(["url"])
+
+
 def intact(bodies: DataFrame, body_col: str = "body", sha_col: str = "sha256") -> DataFrame:
     """``bodies`` with ``intact``: whether the hash of the body is the recorded one; false where either is null."""
     return bodies.withColumn("intact", F.coalesce(F.sha2(F.col(body_col).cast("binary"), 256) == F.col(sha_col), F.lit(False)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,20 +21,19 @@ def windows_of(text: str, size: int, overlap: int, limit: int) -> tuple[list[tup
 
     A window that isn't the last ends after the last line feed of its second half, if that lies beyond the overlap.
     """
+    feeds = [m.start() for m in re.finditer("\n", text)] if len(text) > size else []
     found: list[tuple[int, int]] = []
-    start = 0
-    while start < len(text):
-        if len(found) == limit:
+    at = 0
+    while at < len(text):
+        if len(found) >= limit:
             return found, True
-        end = min(start + size, len(text))
-        if end < len(text):
-            feed = text.rfind("\n", start + size // 2, end)
-            if feed > start + overlap:
-                end = feed + 1
-        found.append((start, end))
-        if end == len(text):
-            break
-        start = max(start + 1, end - overlap)
+        stop = at + size
+        if stop < len(text):
+            k = bisect.bisect_left(feeds, stop) - 1  # the last line feed within the window
+            if k >= 0 and feeds[k] >= at + max(size // 2, overlap + 1):
+                stop = feeds[k] + 1
+        found.append((at, min(stop, len(text))))
+        at = max(at + 1, stop - overlap) if stop < len(text) else len(text)
     return found, False
 
 

@@ -24,13 +24,19 @@ def screen_notices(spark: SparkSession, folder: str, source: str, elderly_care_o
 
 def analyze(spark: SparkSession, folder: str, out: str, source: str, elderly_care_only: bool = False) -> DataFrame:
     """Screen the notices of a folder into ``out`` (which must not exist) and seal it; returns the counts by year."""
+    facts = {"source": source, "elderly_care_only": elderly_care_only}
     tables = screen_notices(spark, folder, source, elderly_care_only)
-    files.write_rows(tables["notices"].drop("language_evidence"), f"{out}/notices_csv", "csv")
-    files.write_rows(tables["notices"], f"{out}/notices", "parquet")
-    stored = spark.read.parquet(f"{out}/notices")
-    years = notices.aggregate_by_year(stored).orderBy(F.asc_nulls_last("year"))
-    files.write_rows(years, f"{out}/year_summary", "json")
-    seal(spark, out, {"status": "completed", "source": source, "elderly_care_only": elderly_care_only})
+    try:
+        files.write_rows(tables["notices"], f"{out}/notices", "parquet")
+        stored = spark.read.parquet(f"{out}/notices")
+        files.write_rows(stored.drop("language_evidence"), f"{out}/notices_csv", "csv")
+        years = notices.aggregate_by_year(stored).orderBy(F.asc_nulls_last("year"))
+        files.write_rows(years, f"{out}/year_summary", "json")
+    except BaseException as error:
+        if Path(out).is_dir():  # what there is stays, sealed as failed
+            seal(spark, out, {**facts, "status": "failed", "error": type(error).__name__})
+        raise
+    seal(spark, out, {**facts, "status": "completed"})
     return years
 
 

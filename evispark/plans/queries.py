@@ -314,6 +314,38 @@ def call_budget(spark, sf_dir):
     return caches.within_budget(calls, "municipality_id", "event_no", 10, ~F.col("cache_hit")).select("event_no", "calls_so_far", "within_budget")
 
 
+@query("""SELECT DISTINCT event_no, CASE WHEN TRY_CAST(status AS INT) IS NULL THEN 'none' WHEN TRY_CAST(status AS INT) < 400 THEN 'ok' WHEN status IN ('429', '500', '502', '503', '504') THEN 'retry' ELSE 'error' END AS outcome FROM audit WHERE stage = 'fetch'""")
+def fetch_outcomes(spark, sf_dir):
+    return _t(spark, sf_dir, "audit").where("stage = 'fetch'").select("event_no", caches.outcome(F.col("status")).alias("outcome")).distinct()
+
+
+@query("""SELECT id, CAST(p AS INT) AS pass_no, ['model-a', 'model-b'][p % 2 + 1] AS model FROM (SELECT DISTINCT id FROM chunks), range(3) r(p)""")
+def pass_requests(spark, sf_dir):
+    return caches.passes(_t(spark, sf_dir, "chunks").select("id").distinct(), "id", 3, ["model-a", "model-b"])
+
+
+@query("""SELECT DISTINCT id, coalesce(nullif(trim(coalesce(title, '')), ''), split_part(rtrim(url, '/'), '/', -1)) AS notice_id FROM sources""")
+def notice_id_fallback(spark, sf_dir):
+    return _t(spark, sf_dir, "sources").select("id", text.last_segment(F.col("title"), F.col("url")).alias("notice_id")).distinct()
+
+
+@query("""SELECT * FROM (VALUES (1, 'text', NULL), (2, NULL, 'refusal'), (3, NULL, 'status incomplete'), (4, NULL, 'empty output'), (5, NULL, 'unreadable response')) v(n, output, error)""")
+def decoded_responses(spark, sf_dir):
+    from evispark.functions.jsonish import decode_response
+
+    part = '{"status": "%s", "output": [{"content": [%s]}]}'
+    rows = [part % ("completed", '{"type": "output_text", "text": "te"}, {"type": "output_text", "text": "xt"}'), part % ("completed", '{"type": "refusal", "refusal": "no"}'), part % ("incomplete", ""), part % ("completed", ""), "{"]
+    return spark.createDataFrame(list(enumerate(rows, 1)), "n int, body string").select("n", decode_response("body").alias("x")).select("n", "x.output", "x.error")
+
+
+@query("""SELECT * FROM (VALUES ('https://a.se/', 'Ny'), ('https://b.se/', '')) v(url, title)""")
+def search_sources(spark, sf_dir):
+    from evispark.functions.jsonish import search_results
+
+    body = '{"output": [{"type": "web_search_call", "action": {"sources": [{"type": "url", "url": "https://a.se/", "title": "Gammal"}, {"type": "url", "url": "https://b.se/"}]}}, {"type": "message", "content": [{"type": "output_text", "text": "se https://prosa.se/", "annotations": [{"type": "url_citation", "url": "https://a.se/", "title": "Ny"}]}]}]}'
+    return spark.createDataFrame([(body,)], "body string").select(F.explode(search_results("body")).alias("x")).select("x.url", "x.title")
+
+
 @query("""WITH r AS (SELECT DISTINCT event_no, key FROM audit WHERE stage = 'llm'), c AS (SELECT key, min(status) AS response FROM audit WHERE stage = 'llm' AND status = 'completed' GROUP BY key)
 SELECT r.event_no, c.response, c.key IS NOT NULL AS cache_hit, CASE WHEN c.key IS NULL THEN 'not in the cache' END AS error FROM r LEFT JOIN c ON c.key = r.key""")
 def cache_replay(spark, sf_dir):

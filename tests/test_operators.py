@@ -238,3 +238,32 @@ def test_evidence_keeps_units_without_places(spark):
 def test_broken_json_is_an_empty_notice(spark):
     rows = notices.ted_rows(spark.createDataFrame([("{",), (None,), (json.dumps({"publication-number": 7, "notice-title": None}),)], "notice string")).collect()
     assert [(r["notice_id"], r["title"], r["document_urls"], r["source_url"]) for r in rows] == [("", "", [], ""), ("", "", [], ""), ("7", "", [], "https://ted.europa.eu/sv/notice/-/detail/7")]
+
+
+def test_adverts_of_a_paged_listing(spark):
+    base = "https://www.upphandlingsmyndigheten.se/hitta-lov-uppdrag/"
+    link = lambda n: f'<a href="{base}annonser/k/s{n}/">x</a>'
+    rows = [(base, link(1)), (f"{base}?page=2", link(1)), (f"{base}?page=3", link(9)), (f"{base}?p=2", link(2) + link(1)), (f"{base}?p=3", link(3)), (f"{base}?p=4", link(2)), (f"{base}?p=5", link(8)), (f"{base}?s=2", link(7))]
+    got = pages.discover_adverts(spark.createDataFrame(rows, "url string, html string"), spark.createDataFrame([(f"{base}annonser/k/s0/",)], "url string"), base, ["page", "p", "s"])
+    assert sorted(r["url"][-3:-1] for r in got.collect()) == ["s0", "s1", "s2", "s3"]
+
+
+def test_documents_of_a_request(spark):
+    page = '<main>Sida <a href="/karta.pdf">Karta</a><a href="/villkor.pdf">Villkor</a><a href="https://annan.se/x.pdf">x</a></main>'
+    stored = spark.createDataFrame([("https://a.se/", page, "text/html"), ("https://a.se/villkor.pdf", "%PDF-1", "application/pdf"), ("https://a.se/sist", "<p>sist</p>", "text/html")], "url string, html string, content_type string")
+    requests = spark.createDataFrame([("n", ["https://a.se/", "https://a.se/sist"]), ("tom", None)], "id string, urls array<string>")
+    got = [(r["step"], r["url"], r["kind"], r["error"]) for r in pages.document_queue(requests, stored).orderBy("step").collect()]
+    assert got == [
+        (1, "https://a.se/", "html", None),
+        (2, "https://a.se/villkor.pdf", "pdf", None),
+        (3, "https://a.se/karta.pdf", None, "not in the cache"),
+        (4, "https://annan.se/x.pdf", None, "outside the request's hosts"),
+        (5, "https://a.se/sist", "html", None),
+    ]
+    assert len(pages.document_queue(requests, stored, most=2).collect()) == 2
+
+
+def test_stored_bodies(spark):
+    d = spark.createDataFrame([("u", b"x"), ("v", b"x"), ("w", b"xyz"), ("n", None)], "url string, body binary")
+    bodies, meta = caches.store_bodies(d, 2)
+    assert bodies.count() == 1 and {r["url"] for r in meta.collect()} == {"u", "v"}
