@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.session import write_table
@@ -186,6 +186,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     uses = write_table(whole_uses.unionAll(chosen), "uses")
     used = uses.where("uses > 0").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"))
     head = spark.createDataFrame([(p.source, p.target_share, p.max_repeats, p.records, p.tokens) for p in plans] or [], "source string, target_share double, max_repeats int, n_records bigint, tokens bigint")
-    whole = used.agg(F.sum("used_tokens").alias("whole"))
-    shares = head.join(used, "source", "left").join(F.broadcast(whole)).select("source", "target_share", "max_repeats", "n_records", "tokens", F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.round(F.coalesce(F.try_divide("used_tokens", "whole"), F.lit(0.0)), 9).alias("actual_share"))
+    # as many rows as targets: one window over all of them
+    reached = head.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
+    share = F.try_divide(F.col("used_tokens"), F.sum("used_tokens").over(Window.partitionBy(F.lit(0))))
+    shares = reached.select("source", "target_share", "max_repeats", "n_records", "tokens", "used_tokens", F.round(F.coalesce(share, F.lit(0.0)), 9).alias("actual_share"))
     return uses, shares
