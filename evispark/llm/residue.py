@@ -10,9 +10,11 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Phrases, in lower case, by kind.
 ERROR_PHRASES = (
@@ -183,10 +185,16 @@ def residue(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFr
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null and text <> ''").mapInArrow(_detect, "id string, kinds array<string>, spans array<struct<kind:string,start:int,end:int>>, share double")
 
 
-def without_residue(df: DataFrame, id_col: str = "id", text_col: str = "text", least_share: float = 0.0) -> DataFrame:
+@F.pandas_udf(DoubleType())
+def residue_share(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The share of a text that residue covers; 0 for null and empty texts."""
+    for s in texts:
+        yield s.map(lambda t: sum(b - a for _, a, b in find_residue(t)) / len(t) if isinstance(t, str) and t else 0.0).astype(float)
+
+
+def without_residue(df: DataFrame, text_col: str = "text", least_share: float = 0.0) -> DataFrame:
     """The rows of ``df`` (all columns, repeated rows included) without those of which residue covers more than ``least_share``.
 
-    Rows with null id are kept when their own text is clean: they are judged by text, like all others.
+    Every row is judged by its own text, without a shuffle; null and empty texts stay.
     """
-    bad = residue(df.select(F.col(text_col).alias("__text")).where("__text is not null").distinct().select(F.col("__text").alias("t"), F.col("__text").alias("x")), "t", "x").where(F.col("share") > least_share).select(F.col("id").alias("__bad"))
-    return df.join(bad, F.col(text_col) == F.col("__bad"), "left_anti")
+    return df.where(residue_share(F.col(text_col)) <= least_share)
