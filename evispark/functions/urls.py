@@ -28,8 +28,9 @@ def _idna(hosts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one, na_action="ignore")
 
 
-def _part(url: Column, k: int) -> Column:
-    return F.regexp_extract(url, _URL, k)
+def _parts(url: Column) -> Column:
+    """The six parts by one pass of the pattern; an array of another length where it doesn't match."""
+    return F.split(F.regexp_replace(url, _URL, "$1\u0001$2\u0001$3\u0001$4\u0001$5\u0001$6"), "\u0001", -1)
 
 
 def normalize_url(url: Column, international: bool = False) -> Column:
@@ -38,15 +39,14 @@ def normalize_url(url: Column, international: bool = False) -> Column:
     Null for anything but an absolute HTTP(S) URL, for credentials and for other ports. Hosts outside ASCII need
     ``international``, which adds an Arrow function to the plan; without it they give null.
     """
-    u = strip(url)
-    scheme = F.lower(_part(u, 1))
-    port, host = _part(u, 4), F.regexp_replace(F.lower(_part(u, 3)), "\\.$", "")
+    parts = _parts(strip(url))
+    part = lambda k: F.get(parts, F.lit(k))
+    scheme, port, path, query = F.lower(part(0)), part(3), part(4), part(5)
+    host = F.regexp_replace(F.lower(part(2)), "\\.$", "")
     host = _idna(host) if international else F.when(host.rlike("^[\\x21-\\x7e]+$"), host)
     default = F.when(scheme == "https", "443").otherwise("80")
-    fine = u.rlike(_URL) & (_part(u, 2) == "") & ((port == "") | (port == default)) & (host != "")
-    path = F.when(_part(u, 5) == "", F.lit("/")).otherwise(_part(u, 5))
-    query = F.when(_part(u, 6) == "?", F.lit("")).otherwise(_part(u, 6))
-    return F.when(fine, F.concat(scheme, F.lit("://"), host, path, query))
+    fine = (F.size(parts) == 6) & (part(1) == "") & ((port == "") | (port == default)) & (host != "")
+    return F.when(fine, F.concat(scheme, F.lit("://"), host, F.when(path == "", F.lit("/")).otherwise(path), F.when(query == "?", F.lit("")).otherwise(query)))
 
 
 def host(url: Column) -> Column:
