@@ -50,7 +50,7 @@ FILLER_WORDS = (
     "commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum "
     "vitae eget arcu porta tortor lacus cursus lectus viverra pharetra mauris sapien massa feugiat ornare blandit"
 ).split()
-FIELD_OPENERS = ("{{", "[[", "${", "<%", "{%", "[todo", "[ange ", "<fyll i", "[infoga", "[fyll i", "<ange ", "<infoga", "[insert ", "<insert ", "xxxx-", "%%", "@@", "«", "#", "{", "undefined", "[object object]", "mergefield", "[%")
+FIELD_OPENERS = ("{{", "[[", "${", "<%", "{%", "[todo", "[ange", "<fyll i", "[infoga", "[fyll i", "<ange", "<infoga", "[insert", "<insert", "[skriv", "<skriv", "xxxx-", "%%", "@@", "«", "#", "{", "undefined", "[object object]", "mergefield", "[%")
 #: Codes of error pages as entries of their breadcrumbs.
 CODES = tuple(f"{mark} {code}" for mark in "/»>|" for code in (403, 404, 500, 503))
 #: Names of fields that may stand between marks which are ordinary punctuation as well.
@@ -69,6 +69,8 @@ FILLER_RUN = re.compile(rf"\b(?:(?:{_FILLER})\b[\s,.;!?]*){{4,}}", re.I)
 FILLER_SENTENCE = re.compile(rf"^\W*(?:(?:{_FILLER})\b[\s,.;!?]*){{2,}}\W*$", re.I)
 #: Letters of other scripts that look Latin: folded before the context is judged.
 _FOLD = str.maketrans("аесорхуіѕјԁοαΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТХ", "aecopxyisjdoaABEZHIKMNOPTYXABEKMHOPCTX")
+#: Letters that a pattern without regard to case takes for another one, and that small letters keep apart.
+_CASE = str.maketrans("ſıİ", "sii")
 _IDS = re.compile(r"https?://\S+|\b[\w-]*[0-9a-f]*\d[\w./:-]*|[()–\-,.:;!?*•»>/|]")
 _BREAK = re.compile(r"\n|\f|[.!?…:]\s|\s[/»>|·]\s")
 #: Least share of its sentence that phrases must cover, ids, numbers and punctuation left out.
@@ -77,7 +79,7 @@ COVERAGE = 0.4
 
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, phrases in (("error", ERROR_PHRASES), ("script", SCRIPT_PHRASES), ("sample", SAMPLE_PHRASES), ("field", FIELD_OPENERS), ("code", CODES), ("filler", ("ipsum", "lorem", "pharetra", "lectus", "viverra", "feugiat", "consectetur", "ornare", "sapien", "blandit", "tortor", "mauris"))):
+    for kind, phrases in (("error", ERROR_PHRASES), ("script", SCRIPT_PHRASES), ("sample", SAMPLE_PHRASES), ("field", FIELD_OPENERS), ("code", CODES), ("filler", FILLER_WORDS)):
         for p in phrases:
             a.add_word(p, (kind, p))
     a.make_automaton()
@@ -114,6 +116,8 @@ def find_residue(text: str | None) -> list[tuple[str, int, int]]:
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length: leave them as they are
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    if "ſ" in low or "ı" in low or "İ" in low:  # the patterns take them for s and i
+        low = low.translate(_CASE)
     hits = _hits(low)
     if not hits:
         return []
@@ -126,12 +130,14 @@ def find_residue(text: str | None) -> list[tuple[str, int, int]]:
             around = text[max(left, m.start() - 300) : min([*stops, m.end() + 200])].translate(_FOLD)
             if not QUOTING.search(around):
                 found.append(("field", m.start(), m.end()))
-    if "filler" in kinds:
+    filler = [at for at, kind, p in hits if kind == "filler" and _word_edge(low, at, at + len(p))]
+    if len(filler) >= 2:  # neither pattern matches fewer words
         runs = [(m.start(), m.end()) for m in FILLER_RUN.finditer(text)]
         found += [("filler", a, b) for a, b in runs]
         if not runs:
-            for at, kind, _ in hits:
-                if kind == "filler":
+            b = 0
+            for at in filler:
+                if at >= b:  # each sentence once
                     a, b = _bounds(text, at)
                     if FILLER_SENTENCE.match(text[a:b]):
                         found.append(("filler", a, b))

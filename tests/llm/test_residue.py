@@ -49,3 +49,35 @@ def test_tables(make_chunks):
     assert kept.columns == chunks.columns
     assert sorted(str(r["id"]) for r in kept.collect()) == ["None", "None", "b", "b", "e", "l"]
     assert residue.residue(make_chunks([])).collect() == residue.without_residue(make_chunks([])).collect() == []
+
+
+FIELDS = [
+    "{{ kommun_namn }}", "[[ namn ]]", "${namn}", "<%= namn %>", "{% if namn %}", "[% namn %]", "[TODO namn]", "XXXX-belopp-XXXX", "%% namn %%", "@@ namn @@", "#namn#", "«namn»", "{namn}",
+    "undefined, undefined", "undefined.", "[object Object]", "MERGEFIELD",
+    *(f"{a}{word}{space}namnet{b}" for word in ("Ange", "Infoga", "Fyll i", "Insert", "Skriv", "\u017fkriv") for a, b in ("[]", "<>") for space in " \t\xa0"),
+]
+
+
+@pytest.mark.parametrize("field", FIELDS)
+def test_each_field_alone(field):
+    assert residue.FIELD.search(field)
+    assert ("field", 7, 7 + len(residue.FIELD.search(field)[0])) in residue.find_residue(f"Avgift {field} per dag")
+
+
+@pytest.mark.parametrize("word", residue.FILLER_WORDS)
+def test_each_filler_word_alone(word):
+    assert residue.find_residue(f"Beslut om avgift.\n{word} {word.upper()}.\nText.") == [("filler", 18, 18 + 2 * len(word) + 2)]
+    assert [k for k, *_ in residue.find_residue(f"Avgiften {word}, {word} {word} {word} beslutas")] == ["filler"]
+    assert not residue.find_residue(f"Avgiften {word} beslutas")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur",
+        "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum",
+        "vitae velit quis amet massa",
+    ],
+)
+def test_filler_without_the_usual_words(text):
+    assert [k for k, *_ in residue.find_residue(text)]
