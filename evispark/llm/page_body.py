@@ -8,6 +8,7 @@ from blank lines and list structure. The minimum cut separates furniture from bo
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -53,7 +54,9 @@ CUES = {
     "*växel 0": 6, "*växel +": 6, "copyright": 7, "privacy policy": 8, "*utgåva": 4, "*- webbplats ": 6, "*> webbplats ": 6, "postadress": 6, "besöksadress": 6,
 }
 #: Weights of the layout cues.
-WEIGHTS = {"menu": 6.0, "button": 6.0, "related": 6.0, "title": -9.0, "sentence": -6.0, "table": -5.0, "item": -3.0, "teaser": 1.5, "label_above": 3.0, "label": -0.6, "error": -5.0, "other": -0.8}
+WEIGHTS = {"doubled": -2.0, "menu": 6.0, "button": 6.0, "related": 6.0, "title": -9.0, "sentence": -6.0, "table": -5.0, "item": -3.0, "teaser": 1.5, "label_above": 3.0, "label": -0.6, "error": -5.0, "other": -0.8}
+#: Code points above which the length of a line is a cue of its own, with the weight ``doubled`` for each doubling.
+LONG = 240
 EDGES = {"next": 0.5, "list": 4.0, "heading": 1.0}
 
 _TO_LATIN = str.maketrans({c: latin for latin, twins in TWINS.items() for c in twins} | {0xFF01 + k: 0x21 + k for k in range(94)} | {"»": ">", "›": ">", "·": "|", "–": "-", "—": "-"})
@@ -79,6 +82,7 @@ _CRUMB = re.compile(rf"(?:{_MENU}) ?[>/]")
 _BUTTON_SET, _RELATED_SET = frozenset(key(p) for p in BUTTONS), frozenset(key(p) for p in RELATED)
 _STARTS = re.compile("|".join(f"(?P<c{k}>{re.escape(key(c))})" for k, c in enumerate(CUES) if c[0] != "*"))
 _PARTS = re.compile("|".join(f"(?P<c{k}>{re.escape(_SPACES.sub(' ', _RARE.sub('', c[1:].translate(_TO_LATIN))).lower())})" for k, c in enumerate(CUES) if c[0] == "*"))
+_PART_WEIGHTS = {_SPACES.sub(" ", _RARE.sub("", c[1:].translate(_TO_LATIN))).lower(): float(w) for c, w in CUES.items() if c[0] == "*"}
 _CUE_WEIGHT = {f"c{k}": float(w) for k, w in enumerate(CUES.values())}
 _ERROR = re.compile(r"^\W*(?:\d{3}\b\W*)?(?:" + _words(p for p in (*ERROR_PHRASES, *SCRIPT_PHRASES, *SAMPLE_PHRASES) if p != "adressen") + r")|^404$|^laddar ?$|^adressen https?:")
 _DOUBTFUL = re.compile(f"[^{PLAIN}]")
@@ -91,9 +95,12 @@ _HEADLINE = re.compile(
 )
 
 
-def _cue(k: str) -> float:
-    m = _STARTS.match(k) or _PARTS.search(k)
-    return _CUE_WEIGHT[m.lastgroup] if m else 0.0
+def _cue(k: str, length: float = 0.0) -> float:
+    """The weight of a line's cue; parts of a long line speak together against its length, a beginning by itself."""
+    m = _STARTS.match(k) or (None if length else _PARTS.search(k))
+    if m:
+        return _CUE_WEIGHT[m.lastgroup]
+    return max(0.0, sum(w for part, w in _PART_WEIGHTS.items() if part in k) + length) if length else 0.0
 
 
 class Judge:
@@ -114,13 +121,13 @@ class Judge:
         return got
 
     def _kind(self, line: str) -> tuple[str, float]:
-        if len(line) > 240:  # no line of furniture is so long, apart from those with a known beginning
-            m = _STARTS.match(key(line[:80]))
-            return ("cue", _CUE_WEIGHT[m.lastgroup]) if m else ("table" if "\t" in line.strip() else "sentence", WEIGHTS["sentence"])
         k = key(line)
-        if not k:
+        long = len(line) > LONG
+        if not k and not long:
             return "other", 0.0
-        if w := _cue(k):
+        # one more weight: the longer a line, the less a cue within it says about the whole of it
+        length = WEIGHTS["doubled"] * math.log2(len(line) / LONG) if long else 0.0
+        if w := _cue(k, length):
             return "cue", w
         if k in _BUTTON_SET:
             return "button", WEIGHTS["button"]
@@ -128,11 +135,13 @@ class Judge:
             return "related", WEIGHTS["related"]
         if _MENU_LINE.fullmatch(k):
             return "menu", WEIGHTS["menu"]
-        if _CRUMB.match(k) and k[-1] != ".":
-            return "menu", WEIGHTS["menu"]
+        if _CRUMB.match(k) and k[-1] != "." and WEIGHTS["menu"] + length > 0:
+            return "menu", WEIGHTS["menu"] + length
         entries = [e for e in (x.strip() for x in _SPLIT.split(k)) if e]
         if len(entries) >= 3 and 2 * sum(e in _MENU_SET for e in entries) >= len(entries):
             return "menu", WEIGHTS["menu"]
+        if long:  # whatever has no cue is text
+            return "table" if "\t" in line.strip() else "sentence", WEIGHTS["sentence"]
         if _ERROR.match(k):
             return "error", WEIGHTS["error"]
         bare = line.strip()

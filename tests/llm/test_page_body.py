@@ -59,3 +59,43 @@ def test_tables(make_chunks, make_sources):
     bodies = {r["document_id"]: r["text"] for r in page_body.page_bodies(chunks, src).collect()}
     assert bodies["p"] == bodies["x"] == PAGE and bodies["w"].startswith("Hemtjänst i Dal 2024\nNämnden") and bodies["w"].endswith("2024-05-05.")
     assert page_body.label_lines(make_chunks([]), make_sources([])).collect() == []
+
+
+PAD = " Uppgifterna om besöken sparas i högst tretton månader och lämnas aldrig vidare till någon annan"
+LONG_FURNITURE = [
+    "Vi på Berga använder kakor för att mäta besök",
+    "I Berga kommun finns kakor för att webbplatsen ska fungera",
+    "Anmäl dig till nyhetsbrevet",
+    "Berga kommun, 123 45 Berga, växel 0123-456 78",
+    "Receptionen har öppet vardagar 8-16",
+    "© Berga kommun, all rights reserved",
+    "Hem > Politik > Nämnder",
+]
+
+
+def _line(start, n):
+    return (start + PAD * (n // len(PAD) + 1))[:n - 1] + "x"
+
+
+def _furniture(line):
+    page = ["Hemtjänst i Dal 2024", "Nämnden beslutade den 1 maj 2024 att utöka hemtjänsten i Dal med fler timmar per vecka.", line, "Avgiften beräknas enligt taxan som fullmäktige antog i juni."]
+    return {n for n, _, _, f in page_body.Judge().page("\n".join(page), page[0]) if f}
+
+
+def test_cues_count_in_lines_of_any_length():
+    for start in LONG_FURNITURE:
+        for n in (200, 240, 241, 300, 480, 900):
+            assert _furniture(_line(start, n)) == {3}, (start, n)
+    late = "Berga kommun informerar om webbplatsen." + PAD * 3 + ". Vi använder kakor för att mäta besök"
+    assert len(late) > 300 and _furniture(late) == {3}
+
+
+def test_long_menus_are_menus():
+    for n in (1, 20, 300):
+        assert _furniture("Hem Politik Kultur Skola Omsorg Trafik " * n + "Kontakt") == {3}
+        assert _furniture("Hem | Politik | Kultur | Skola | Berga | Trafik | " * n + "Kontakt") == {3}
+
+
+def test_long_text_stays_body():
+    for line in (PAD * 4, PAD * 40 + " nyhetsbrevet" + PAD * 40, "данные " * 60, "a\tb" * 100):
+        assert _furniture(line) == set()
