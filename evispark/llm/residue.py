@@ -56,9 +56,17 @@ CODES = tuple(f"{mark} {code}" for mark in "/»>|" for code in (403, 404, 500, 5
 #: Names of fields that may stand between marks which are ordinary punctuation as well.
 FIELD_NAMES = ("kommun_namn", "gatuadress", "kontaktperson", "rubrik", "avtalsnr", "belopp", "datum", "enhet", "namn", "adress", "titel", "name", "title", "date", "address", "amount", "unit", "nimi", "osoite", "otsikko")
 _NAME = r"[A-Za-zÅÄÖåäö_][\wåäö.\-]*"
+_ASK = r"[\[<](?:Ange|Infoga|Fyll i|Insert|Skriv)\s"
+
+
+def _content(opens: str, closes: str) -> str:
+    """A character of a field: neither at its closing mark nor at another opening one, nor at a blank line."""
+    return rf"(?:(?!{opens}|{closes}|\n\s*\n)[\s\S])"
+
+
 FIELD = re.compile(
-    r"\{\{\s*[^{}\n]{1,60}\}\}|\[\[\s*" + _NAME + r"\s*\]\]|\$\{\s*" + _NAME + r"\s*\}|<%=?\s*[^<>\n]{1,60}%>|\{%\s*[^{}\n]{1,60}%\}|\[%\s*[^\[\]\n]{1,60}%\]"
-    r"|\[TODO\b[^\]\n]{0,60}\]|[\[<](?:Ange|Infoga|Fyll i|Insert|Skriv)\s[^\]>\n]{1,60}[\]>]|\bXXXX-" + _NAME + r"-XXXX\b|%%\s*" + _NAME + r"\s*%%|@@\s*" + _NAME + r"\s*@@"
+    r"\{\{\s*" + _content(r"\{\{", r"\}\}") + r"+\}\}|\[\[\s*" + _NAME + r"\s*\]\]|\$\{\s*" + _NAME + r"\s*\}|<%=?\s*" + _content("<%", "%>") + r"+%>|\{%\s*" + _content(r"\{%", r"%\}") + r"+%\}|\[%\s*" + _content(r"\[%", r"%\]") + r"+%\]"
+    r"|\[TODO\b" + _content(r"\[TODO\b", r"\]") + r"*\]|" + _ASK + _content(_ASK, r"[\]>]") + r"+[\]>]|\bXXXX-" + _NAME + r"-XXXX\b|%%\s*" + _NAME + r"\s*%%|@@\s*" + _NAME + r"\s*@@"
     r"|(?<![\w#])#[a-zåäö_]{2,40}#(?![\w#])|«(?:" + "|".join(FIELD_NAMES) + r")»|(?<![{$\w])\{[a-zåäö]\w*\}(?!\})|\bundefined, undefined\b|\bundefined\b(?=[,.;: ])|\[object Object\]|\bMERGEFIELD\b",
     re.I,
 )

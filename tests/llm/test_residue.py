@@ -81,3 +81,27 @@ def test_each_filler_word_alone(word):
 )
 def test_filler_without_the_usual_words(text):
     assert [k for k, *_ in residue.find_residue(text)]
+
+
+LONG = "namnet på den enhet som ansvarar för handläggningen av ärendet och dess beslut"
+
+
+@pytest.mark.parametrize(
+    "field",
+    [
+        '{{ a.b | default("' + LONG + '") | upper }}', "{{ a\n| upper }}", "{{ {'a': 1} }}", "<%= " + LONG + " %>", "<% if a > b\nand c < d %>", "{% if " + LONG + " %}", "{% set a = {}\n%}", "[% " + LONG + " %]", "[% a[0]\n%]",
+        "[TODO " + LONG + "]", "[TODO a\nb]", "[TODO se [1]", "[Ange " + LONG + "]", "<Ange " + LONG + ">", "[Infoga namn\npå enhet]", "[Fyll i namn [1]", "[Skriv " + LONG * 9 + "]",
+    ],
+)
+def test_fields_end_at_their_closing_mark(field):
+    assert ("field", 7, 7 + len(field)) in residue.find_residue(f"Avgift {field} per dag")
+
+
+@pytest.mark.parametrize("text", ["{{ a\n\nb }}", "<% a\n \nb %>", "[Ange namn\n\nText]", "{{ a"])
+def test_fields_end_at_a_blank_line(text):
+    assert not [k for k, *_ in residue.find_residue(text) if k == "field"]
+
+
+def test_marks_that_never_close_are_passed_in_one_go():
+    for mark in ("{{ a ", "<% a ", "{% a ", "[% a ", "[TODO a ", "[Ange a "):
+        assert not residue.find_residue(mark * 100_000)
