@@ -97,3 +97,15 @@ def test_a_third_are_copies(spark):
 def test_empty(spark):
     found = spans.shared_spans(spark.createDataFrame([], "doc_id bigint, text string"))
     assert found.pairs().collect() == found.shared().collect() == []
+
+
+def test_batches_mark_the_rows_that_one_batch_marks(spark, monkeypatch):
+    monkeypatch.setattr(spans, "MOST_RUNS", 2)
+    texts = corpus(random.Random(6), hot=8)
+    frame = lambda rows: spans.texts_of(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    index, marked = spans.SpanIndex(spark), []
+    for batch in (texts[::4], [(999, "w" * 10)], texts[1::4], texts[2::4], texts[3::4]):
+        marked.append({tuple(r) for r in index.ingest(frame(batch)).collect()})
+    assert len(index.runs) < 5
+    assert marked[0] == marked[1]  # too short to add anything
+    assert marked[-1] and marked[-1] == {tuple(r) for r in spans.SpanIndex(spark).ingest(frame(texts)).collect()}
