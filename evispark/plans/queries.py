@@ -479,6 +479,12 @@ def lexicon_counts(spark, sf_dir):
     return lexicon.pattern_counts(_t(spark, sf_dir, "documents"), _COUNTED)
 
 
+@query()
+def lexicon_counts_all(spark, sf_dir):
+    """:func:`lexicon_counts` with all explicit patterns; the SQL can't say the bounds within the last two."""
+    return lexicon.pattern_counts(_t(spark, sf_dir, "documents"), lexicon.EXPLICIT + lexicon.RELATED)
+
+
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(?:äldreomsorg|hemtjänst|särskil(?:t|da)\s+boende|äldreboende|vård-\s+och\s+omsorgsboende|omsorgsboende|korttidsboende|dagverksamhet|trygghetslarm|serviceboende|demensboende|äldre\s+personer($|[^\p{L}\p{N}_]))')")
 def care_filter(spark, sf_dir):
     return notices.is_elderly_care(_t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("description"))).select("doc_id")

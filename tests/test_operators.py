@@ -267,3 +267,19 @@ def test_stored_bodies(spark):
     d = spark.createDataFrame([("u", b"x"), ("v", b"x"), ("w", b"xyz"), ("n", None)], "url string, body binary")
     bodies, meta = caches.store_bodies(d, 2)
     assert bodies.count() == 1 and {r["url"] for r in meta.collect()} == {"u", "v"}
+
+
+def test_every_pattern_of_the_lexicon_is_counted(spark, tmp_path):
+    import re
+
+    from evispark.plans.queries import QUERIES
+
+    rng = random.Random(7)
+    words = ["CEFR", "gers", "gemensam  europeisk\nreferensram", "B1", "c2", "B12", "xcefr", "nivå", "å" * 20, "x" * 39, "svenska", "sfi", "tolk", "språkkrav"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(400)] + [None, ""]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = [re.sub(r"\s+", " ", t).lower() for t in texts if t is not None]
+    patterns = lexicon.EXPLICIT + lexicon.RELATED
+    want = {k: sum(bool(re.search(p, t)) for t in plain) for k, p in enumerate(patterns, 1)}
+    assert {r["pattern_no"]: r["n_rows"] for r in QUERIES["lexicon_counts_all"](spark, str(tmp_path)).collect()} == want
+    assert want[12] and want[13] and want[12] != want[13]
