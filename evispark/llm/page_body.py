@@ -1,265 +1,230 @@
 """Problem 3: the main body of web pages, apart from menus, notices, sidebars and footers.
 
-Every non-blank line is a node. A log-linear classifier over lexical and layout cues gives its terminal capacities: how
-much stronger it speaks for furniture than for body. Smoothness edges join neighbouring lines, the entries of one list
-with each other and with its heading, and a heading with what follows it; text has no DOM, so nearness in it is taken
-from blank lines and list structure. The minimum cut separates furniture from body, exactly, page by page.
+Every non-blank line is a node. A classifier fitted to the pages themselves (:mod:`evispark.llm.line_model`) gives its
+terminal capacities: the log-odds that it is furniture. Smoothness edges join neighbouring lines, by how much more often
+neighbours of their kind (entries of one list, a list and its heading, lines alike in shape) agree than others do; text
+has no DOM, so nearness in it is taken from blank lines, list marks and shape. The minimum cut separates furniture from
+body, exactly, page by page.
+
+Three passes: templates of lines, counted over the pages of each site and of all; a bounded sample of pages for the fit;
+the cut of every page. Only hashes and counts are shuffled beside the texts themselves.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm import mincut
 from evispark.llm.assemble import documents, sorted_windows
-from evispark.llm.lookalike import TWINS
+from evispark.llm.line_model import Features, Model, Page, Reader, SamplePage, arrange, capacities, fit, outside_prose, read, sample_page
 from evispark.llm.mojibake import PLAIN, repair
-from evispark.llm.residue import ERROR_PHRASES, SAMPLE_PHRASES, SCRIPT_PHRASES
-
-# The vocabulary of the classifier. Compared without letters outside ASCII, so damaged ones don't matter.
-MENU = (
-    "acceptera alla", "anslagstavla", "bygga och bo", "e-tjänster", "hem", "kalender", "kontakt", "kontakta oss", "kultur", "lediga jobb", "logga in", "lyssna", "lättläst", "meny", "näringsliv", "om oss", "omsorg", "other languages", "politik", "press", "skola", "start", "sök", "trafik",
-    "home", "menu", "search", "log in", "sign in", "contact", "contact us", "about us", "news", "calendar", "jobs", "etusivu", "haku", "valikko", "yhteystiedot", "kirjaudu",
-)
-BUTTONS = (
-    "acceptera alla", "endast nödvändiga", "dela", "föregående", "nästa", "gilla", "hoppa till innehåll", "lyssna på sidan", "prenumerera", "skriv ut", "stäng", "tillbaka", "till toppen", "tipsa en vän", "visa mer", "visa fler", "läs hela", "avvisa alla", "anpassa", "spara inställningar", "stäng meny", "öppna meny", "kopiera länk", "ladda ner",
-    "accept all", "reject all", "only necessary", "share", "print", "close", "back", "back to top", "next", "previous", "show more", "skip to content", "subscribe", "hyväksy kaikki", "tulosta", "jaa", "sulje", "takaisin", "seuraava", "edellinen", "lisää",
-)
-RELATED = (
-    "andra läste även", "genvägar", "läs mer", "läs också", "mer om ämnet", "nyheter", "relaterat", "relaterade länkar", "se också", "se även", "snabblänkar", "fler nyheter", "senaste nytt", "aktuellt", "mest läst", "på gång", "evenemang",
-    "related", "related links", "see also", "read more", "latest news", "quick links", "most read", "lue myös", "katso myös", "uutiset", "aiheeseen liittyvää",
-)
-#: Beginnings (or, after ``*``, any part) of lines of furniture, with the weight that they carry.
-CUES = {
-    # cookies and consent
-    "*använder kakor": 8, "we use cookies": 8, "den här webbplatsen sparar": 8, "samtycke:": 8, "genom att fortsätta godkänner du": 8, "du kan neka statistik": 8, "*kakor för att": 6, "*this site uses cookies": 8, "*evästeitä": 6,
-    # notices of the whole site
-    "viktigt meddelande:": 8, "driftmeddelande:": 6, "important notice:": 6,
-    # menus and breadcrumbs
-    "huvudmeny": 8, "du är här:": 8, "you are here": 8, "*kontaktcenter": 7, "*områden:": 7, "olet tässä": 8,
-    # feedback, sharing, newsletters
-    "hjälpte texten dig": 8, "var informationen till nytta": 8, "tipsa redaktionen": 8, "dela den här sidan": 8, "*i sociala kanaler": 8, "*nyhetsbrevet": 7, "var sidan till hjälp": 8, "was this page helpful": 8,
-    # bylines
-    "av redaktionen för": 8, "text och bild:": 8, "sidansvarig:": 8, "översatt och språkgranskad": 8, "text:": 5, "foto:": 5, "by the editors": 6,
-    # dates of publication and change
-    "senast uppdaterad": 8, "sidan ändrades": 8, "*| granskad": 8, "publicerad": 7, "last updated": 8, "published": 5, "päivitetty": 7, "sidan uppdaterades": 8,
-    # legal, contact and other lines of the footer
-    "organisationsnummer": 8, "rättslig information": 8, "tillgänglighetsredogörelse": 8, "webbplatsen drivs": 8, "ansvarig utgivare": 8, "så behandlar vi personuppgifter": 8, "vid akuta ärenden": 7, "besök oss:": 8, "*öppet vardagar": 8, "*innehåll får citeras": 8, "*all rights reserved": 8,
-    "*växel 0": 6, "*växel +": 6, "copyright": 7, "privacy policy": 8, "*utgåva": 4, "*- webbplats ": 6, "*> webbplats ": 6, "postadress": 6, "besöksadress": 6,
-}
-#: Weights of the layout cues.
-WEIGHTS = {"doubled": -2.0, "menu": 6.0, "button": 6.0, "related": 6.0, "title": -9.0, "sentence": -6.0, "table": -5.0, "item": -3.0, "teaser": 1.5, "label_above": 3.0, "label": -0.6, "error": -5.0, "other": -0.8}
-#: Code points above which the length of a line is a cue of its own, with the weight ``doubled`` for each doubling.
-LONG = 240
-EDGES = {"next": 0.5, "list": 4.0, "heading": 1.0}
-
-_TO_LATIN = str.maketrans({c: latin for latin, twins in TWINS.items() for c in twins} | {0xFF01 + k: 0x21 + k for k in range(94)} | {"»": ">", "›": ">", "·": "|", "–": "-", "—": "-"})
-_RARE = re.compile(r"[^\x00-\x7f]+")
-_SPACES = re.compile(r"\s+")
-
-
-def key(line: str) -> str:
-    """A line in small letters without anything outside ASCII; look-alike letters folded before, spaces collapsed."""
-    if not line.isascii():
-        line = _RARE.sub("", line.translate(_TO_LATIN))
-    return _SPACES.sub(" ", line).strip().lower()
-
-
-def _words(phrases) -> str:
-    return "|".join(re.escape(k) for k in sorted({key(p) for p in phrases}, key=lambda k: (-len(k), k)))
-
-
-_MENU = _words(MENU)
-_MENU_SET = frozenset(key(p) for p in MENU)
-_MENU_LINE = re.compile(rf"(?:{_MENU})(?: (?:{_MENU}))*")
-_CRUMB = re.compile(rf"(?:{_MENU}) ?[>/]")
-_BUTTON_SET, _RELATED_SET = frozenset(key(p) for p in BUTTONS), frozenset(key(p) for p in RELATED)
-_STARTS = re.compile("|".join(f"(?P<c{k}>{re.escape(key(c))})" for k, c in enumerate(CUES) if c[0] != "*"))
-_PARTS = re.compile("|".join(f"(?P<c{k}>{re.escape(_SPACES.sub(' ', _RARE.sub('', c[1:].translate(_TO_LATIN))).lower())})" for k, c in enumerate(CUES) if c[0] == "*"))
-_PART_WEIGHTS = {_SPACES.sub(" ", _RARE.sub("", c[1:].translate(_TO_LATIN))).lower(): float(w) for c, w in CUES.items() if c[0] == "*"}
-_CUE_WEIGHT = {f"c{k}": float(w) for k, w in enumerate(CUES.values())}
-_ERROR = re.compile(r"^\W*(?:\d{3}\b\W*)?(?:" + _words(p for p in (*ERROR_PHRASES, *SCRIPT_PHRASES, *SAMPLE_PHRASES) if p != "adressen") + r")|^404$|^laddar ?$|^adressen https?:")
+from evispark.llm.residue import find_residue
+from evispark.session import write_table
+
+#: The bounded sample of the fit: so many pages, by the hash of their id, of those with at most so many characters.
+SAMPLE_PAGES, SAMPLE_CHARS = 2000, 50_000
+#: Parts into which the rows of one template and site are split where they are joined.
+SALTS = 16
 _DOUBTFUL = re.compile(f"[^{PLAIN}]")
-_SPLIT = re.compile(r"[>|/\[\]]+| - ")
-_SENTENCE = re.compile(r".{25,}[.!?:;”\"][)\"”]?$")
-_BULLET = re.compile(r"^(?:[•*–·-]|\d+[.)])\s")
-_LIST_MARK = re.compile(r"^(?:[>›-]|PDF, \d+ kB:|\d+[.)])\s")
-_HEADLINE = re.compile(
-    r" nr \d+$|, \d+$|\(\d+\)$| del \d+ av \d+$| handling \d+$|\(\d+ (?:kommentarer|comments)\b.*\)$|…$|^[\d.:]+ | kl\. \d|^PDF, \d| \d{4}$|^\W*(?:Protokoll|Protocol) .{6,}|^[^.]{3,60} (?:i|på|in) [A-ZÅÄÖ][^\s.]+$| – [A-ZÅÄÖ]\S+ \d{4}$"
-)
-
-
-def _cue(k: str, length: float = 0.0) -> float:
-    """The weight of a line's cue; parts of a long line speak together against its length, a beginning by itself."""
-    m = _STARTS.match(k) or (None if length else _PARTS.search(k))
-    if m:
-        return _CUE_WEIGHT[m.lastgroup]
-    return max(0.0, sum(w for part, w in _PART_WEIGHTS.items() if part in k) + length) if length else 0.0
-
-
-class Judge:
-    """The classifier; remembers lines that it has seen, as a site repeats them."""
-
-    def __init__(self):
-        self.seen: dict[str, tuple[str, float]] = {}
-
-    def kind(self, line: str) -> tuple[str, float]:
-        """``(kind, weight)`` of a line by itself."""
-        got = self.seen.get(line)
-        if got is None:
-            got = self._kind(line)
-            if len(line) < 200:
-                if len(self.seen) > 100_000:
-                    self.seen.clear()
-                self.seen[line] = got
-        return got
-
-    def _kind(self, line: str) -> tuple[str, float]:
-        k = key(line)
-        long = len(line) > LONG
-        if not k and not long:
-            return "other", 0.0
-        # one more weight: the longer a line, the less a cue within it says about the whole of it
-        length = WEIGHTS["doubled"] * math.log2(len(line) / LONG) if long else 0.0
-        if w := _cue(k, length):
-            return "cue", w
-        if k in _BUTTON_SET:
-            return "button", WEIGHTS["button"]
-        if k in _RELATED_SET:
-            return "related", WEIGHTS["related"]
-        if _MENU_LINE.fullmatch(k):
-            return "menu", WEIGHTS["menu"]
-        if _CRUMB.match(k) and k[-1] != "." and WEIGHTS["menu"] + length > 0:
-            return "menu", WEIGHTS["menu"] + length
-        entries = [e for e in (x.strip() for x in _SPLIT.split(k)) if e]
-        if len(entries) >= 3 and 2 * sum(e in _MENU_SET for e in entries) >= len(entries):
-            return "menu", WEIGHTS["menu"]
-        if long:  # whatever has no cue is text
-            return "table" if "\t" in line.strip() else "sentence", WEIGHTS["sentence"]
-        if _ERROR.match(k):
-            return "error", WEIGHTS["error"]
-        bare = line.strip()
-        if "\t" in bare or bare.startswith("Rad "):
-            return "table", WEIGHTS["table"]
-        if bare.endswith("…") and len(bare) > 30:
-            return "headline", WEIGHTS["teaser"]
-        if _SENTENCE.match(bare) and len(bare) > 60:
-            return "sentence", WEIGHTS["sentence"]
-        if _HEADLINE.search(bare):
-            return "headline", WEIGHTS["teaser"]
-        if _SENTENCE.match(bare):
-            return "sentence", WEIGHTS["sentence"]
-        if _BULLET.match(bare):
-            return "item", WEIGHTS["item"]
-        if len(bare) <= 60 and not any(c.isdigit() for c in bare) and bare[-1] not in ".!,;":
-            return "label", WEIGHTS["label"]
-        return "other", WEIGHTS["other"]
-
-    def page(self, text: str, title: str | None = None) -> list[tuple[int, str, float, bool]]:
-        """``(line_no, kind, terminal capacity, furniture)`` of a page's non-blank lines."""
-        if not text.isascii() and _DOUBTFUL.search(text):
-            fixed = repair(text)[0]
-            text = fixed if fixed.count("\n") == text.count("\n") else text
-        lines = [(n, line) for n, line in enumerate(text.split("\n"), 1) if line and not line.isspace()]
-        kinds = [self.kind(line) for _, line in lines]
-        count = len(lines)
-        unary = [w for _, w in kinds]
-        names = [k for k, _ in kinds]
-        edges: list[tuple[int, int, float]] = []
-        wanted = key(title) if title else None
-        # the page's own heading: its title, or else the first headline that no list of other pages holds
-        heading = None
-        in_list = False
-        for i, (name, _) in enumerate(kinds):
-            k = names[i]
-            if k == "related":
-                in_list = True
-            elif in_list and k not in ("headline", "label", "item"):
-                in_list = False
-            if wanted and not in_list and len(lines[i][1]) < 400 and key(lines[i][1]) == wanted:
-                heading = i
-                break
-            if heading is None and not in_list and k == "headline" and not _LIST_MARK.match(lines[i][1].strip()):
-                heading = i
-                if not wanted:
-                    break
-        if heading is not None:
-            unary[heading], names[heading] = WEIGHTS["title"], "title"
-        first_body = next((i for i, k in enumerate(names) if k in ("title", "sentence", "table", "error")), count)
-        in_list = False
-        for i in range(count):
-            k = names[i]
-            if k == "label" and i < first_body:
-                unary[i] = WEIGHTS["label_above"]
-            listed = in_list and (k == "headline" or k == "item" and bool(_LIST_MARK.match(lines[i][1].strip())) and bool(_HEADLINE.search(lines[i][1].strip())))
-            if k == "related":
-                in_list = True
-            elif not listed:
-                in_list = False
-            if listed:
-                unary[i] = WEIGHTS["teaser"]
-                edges.append((i - 1, i, EDGES["list"]))
-            if i:
-                gap = lines[i][0] - lines[i - 1][0] > 1
-                w = EDGES["next"] * (0.5 if gap else 1.0)
-                if names[i - 1] == "label" and i - 1 > first_body:
-                    w += EDGES["heading"]
-                edges.append((i - 1, i, w))
-            if k == "headline" and not listed and i > first_body:
-                unary[i] = 0.4 if _LIST_MARK.match(lines[i][1].strip()) else -0.8
-        furniture = mincut.label(unary, edges)
-        return [(lines[i][0], names[i], unary[i], furniture[i]) for i in range(count)]
-
-
-_LABELS_SCHEMA = "document_id string, line_no int, kind string, capacity double, furniture boolean"
-
-
-def _label(furniture_only: bool):
+#: What a document says of a template: that it has it within its prose, before or after it, as its title.
+WITHIN, OUTSIDE, TITLE = 1, 2, 4
+_ALL_PAGES = 0  # stands for every page of a site
+
+
+def _is_page(meta: dict) -> bool:
+    return meta["media_type"] == "text/html"
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def readable(text: str) -> str:
+    """The text with damaged characters restored, if that leaves its lines where they are."""
+    if not text.isascii() and _DOUBTFUL.search(text):
+        fixed = repair(text)[0]
+        return fixed if fixed.count("\n") == text.count("\n") else text
+    return text
+
+
+def residue_lines(text: str) -> set[int]:
+    """Numbers of the lines of which residue of problem 2, fields apart, covers at least half."""
+    found = [(a, b) for kind, a, b in find_residue(text) if kind != "field"]
+    if not found:
+        return set()
+    lines = text.split("\n")
+    starts = [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line) + 1)
+    covered: dict[int, int] = {}
+    for a, b in found:
+        i = bisect_right(starts, a) - 1
+        while i < len(lines) and starts[i] < b:
+            covered[i] = covered.get(i, 0) + min(b, starts[i + 1] - 1) - max(a, starts[i])
+            i += 1
+    return {i + 1 for i, n in covered.items() if 2 * n >= len(lines[i].strip())}
+
+
+# --- templates -------------------------------------------------------------------------------------------------------
+
+_TEMPLATES_SCHEMA = "site string, template bigint, document_id string, cluster bigint, flags int"
+
+
+def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every template that a page asks about, once, with what the page says of it."""
+    reader = Reader()
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32()]
+    names = ["site", "template", "document_id", "cluster", "flags"]
+    cols: list[list] = [[] for _ in range(5)]
+    for doc, meta, text in documents(batches, _is_page):
+        _, lines = read(readable(text), reader)
+        flags = {_ALL_PAGES: WITHIN}
+        for x, outside in zip(lines, outside_prose(lines, meta["title"])):
+            flags[x.template] = flags.get(x.template, 0) | (OUTSIDE if outside else WITHIN)
+            for asked in (x.core, x.begin):
+                if asked:
+                    flags.setdefault(asked, 0)
+        if meta["title"]:
+            x = reader.line(meta["title"])
+            for of_title in (x.template, x.begin):
+                if of_title:
+                    flags[of_title] = flags.get(of_title, 0) | TITLE
+        cluster = _signed(xxhash.xxh3_64_intdigest(text))
+        n = len(flags)
+        for c, v in zip(cols, ([meta["municipality_id"] or ""] * n, flags.keys(), [doc] * n, [cluster] * n, flags.values())):
+            c += v
+        if len(cols[0]) >= 16384:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            cols = [[] for _ in range(5)]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+
+def template_facts(chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """``document_id, fact`` (template, pages of the site, pages of all, of those outside prose, titles) for each page's templates.
+
+    Copies of a page count once. Templates of a single page and no title are left out: that is what no fact means. Rows of
+    one site and template are counted in parts, and joined in ``SALTS`` parts by document.
+    """
+    rows = write_table(sorted_windows(chunks, sources).mapInArrow(_templates, _TEMPLATES_SCHEMA), "templates")
+    by_page = rows.groupBy("site", "template", "cluster").agg(F.bit_or("flags").alias("flags"))
+
+    def has(flag: int):
+        return F.col("flags").bitwiseAND(flag) != 0
+
+    by_site = by_page.groupBy("site", "template").agg(
+        F.count_if(has(WITHIN | OUTSIDE)).alias("n"), F.count_if(has(OUTSIDE)).alias("n_outside"), F.count_if(has(TITLE)).alias("n_titles")
+    )
+    everywhere = by_site.groupBy("template").agg(F.sum("n").alias("pages"), F.sum("n_outside").alias("outside"), F.sum("n_titles").alias("titles"))
+    known = everywhere.where("pages > 1 or titles > 1")
+    stats = by_site.select("site", "template", "n").join(known, "template").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = rows.select("site", "template", "document_id", F.expr(f"cast(pmod(xxhash64(document_id), {SALTS}) as int)").alias("salt"))
+    fact = F.array(*(F.col(c).cast("bigint") for c in ("template", "n", "pages", "outside", "titles")))
+    return asked.join(stats, ["site", "template", "salt"]).select("document_id", fact.alias("fact"))
+
+
+def _page(meta: dict, text: str, reader: Reader) -> Page:
+    known = {f[0]: (max(f[1], 1), max(f[2], 1), f[3], f[4]) for f in meta["facts"]}
+    pages = known.pop(_ALL_PAGES, (1, 1, 0, 0))[0]
+    text = readable(text)
+    return arrange(text, meta["title"], known, pages, residue_lines(text), reader)
+
+
+# --- the fit ---------------------------------------------------------------------------------------------------------
+
+_SAMPLE_SCHEMA = "ids array<array<int>>, n_words array<int>, labels array<int>, kinds array<int>"
+
+
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    reader = Reader()
+    features = Features(reader)
+    types = [pa.list_(pa.list_(pa.int32())), *[pa.list_(pa.int32())] * 3]
+    for _, meta, text in documents(batches, _is_page):
+        if len(text) <= SAMPLE_CHARS:
+            p = sample_page(_page(meta, text, reader), features)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((p.ids, p.n_words, p.labels, p.kinds), types)], names=["ids", "n_words", "labels", "kinds"])
+
+
+def fit_model(chunks: DataFrame, sources: DataFrame, facts: DataFrame) -> Model:
+    """The classifier and the edges, fitted on the driver to at most ``SAMPLE_PAGES`` pages of ``SAMPLE_CHARS`` characters."""
+    pages = sources.where(F.col("media_type") == "text/html").select(F.col("id").alias("document_id")).where("document_id is not null").distinct()
+    chosen = F.broadcast(write_table(pages.orderBy(F.xxhash64("document_id"), "document_id").limit(SAMPLE_PAGES), "sample"))
+    some = chunks.join(chosen, "document_id", "left_semi")
+    about = sources.join(chosen.withColumnRenamed("document_id", "id"), "id", "left_semi")
+    rows = sorted_windows(some, about, facts=facts.join(chosen, "document_id", "left_semi")).mapInArrow(_sample, _SAMPLE_SCHEMA)
+    return fit([SamplePage(*r) for r in rows.collect()])
+
+
+# --- the cut ---------------------------------------------------------------------------------------------------------
+
+_LABELS_SCHEMA = "document_id string, line_no int, capacity double, furniture boolean"
+
+
+def cut_page(page: Page, model: Model, features: Features) -> tuple[list[float], list[bool]]:
+    """Terminal capacities and labels of a page's lines."""
+    unary, edges = capacities(page, model, features)
+    return unary, mincut.label(unary, edges)
+
+
+def _label(model: Model, furniture_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge()
-        cols: list[list] = [[] for _ in range(5)]
-        types = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.bool_()]
-        names = ["document_id", "line_no", "kind", "capacity", "furniture"]
-        for doc, meta, text in documents(batches, lambda m: m["media_type"] == "text/html"):
-            for n, kind, capacity, furniture in judge.page(text, meta["title"]):
+        reader = Reader()
+        features = Features(reader)
+        types = [pa.string(), pa.int32(), pa.float64(), pa.bool_()]
+        names = ["document_id", "line_no", "capacity", "furniture"]
+        cols: list[list] = [[] for _ in range(4)]
+        for doc, meta, text in documents(batches, _is_page):
+            page = _page(meta, text, reader)
+            for n, capacity, furniture in zip(page.numbers, *cut_page(page, model, features)):
                 if furniture or not furniture_only:
-                    for c, v in zip(cols, (doc, n, kind, capacity, furniture)):
+                    for c, v in zip(cols, (doc, n, capacity, furniture)):
                         c.append(v)
             if len(cols[0]) >= 16384:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-                cols = [[] for _ in range(5)]
+                cols = [[] for _ in range(4)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     return run
 
 
+def _judged(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, Model]:
+    facts = write_table(template_facts(chunks, sources), "facts")
+    return sorted_windows(chunks, sources, facts=facts), fit_model(chunks, sources, facts)
+
+
 def label_lines(chunks: DataFrame, sources: DataFrame, furniture_only: bool = False) -> DataFrame:
-    """Non-blank lines of web pages: ``document_id, line_no, kind, capacity, furniture``.
+    """Non-blank lines of web pages: ``document_id, line_no, capacity, furniture``.
 
     A page is labelled from its whole text. Documents of another media type, or without metadata, are no web pages and have
-    no rows, nor have null and empty texts. Repeated rows change nothing; extra columns are not read.
+    no rows, nor have null and empty texts. Pages without a municipality count as one site. Repeated rows change nothing;
+    extra columns are not read. A collection in which nothing repeats labels no line as furniture.
     """
-    return sorted_windows(chunks, sources).mapInArrow(_label(furniture_only), _LABELS_SCHEMA)
+    windows, model = _judged(chunks, sources)
+    return windows.mapInArrow(_label(model, furniture_only), _LABELS_SCHEMA)
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    judge = Judge()
-    for doc, meta, text in documents(batches):
-        lines = text.split("\n")
-        if meta["media_type"] == "text/html":
-            gone = {n for n, _, _, furniture in judge.page(text, meta["title"]) if furniture}
-            body = "\n".join(line for n, line in enumerate(lines, 1) if n not in gone)
-        else:
-            gone, body = set(), text
-        yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([body]), pa.array([len(gone)], pa.int32())], names=["document_id", "text", "n_removed"])
+def _bodies(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        features = Features(reader)
+        for doc, meta, text in documents(batches):
+            gone: set[int] = set()
+            if _is_page(meta):
+                page = _page(meta, text, reader)
+                gone = {n for n, furniture in zip(page.numbers, cut_page(page, model, features)[1]) if furniture}
+            body = "\n".join(line for n, line in enumerate(text.split("\n"), 1) if n not in gone) if gone else text
+            yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([body]), pa.array([len(gone)], pa.int32())], names=["document_id", "text", "n_removed"])
+
+    return run
 
 
 def page_bodies(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     """Every document's body lines: ``document_id, text, n_removed``; documents that are no web pages keep all lines."""
-    return sorted_windows(chunks, sources).mapInArrow(_bodies, "document_id string, text string, n_removed int")
+    windows, model = _judged(chunks, sources)
+    return windows.mapInArrow(_bodies(model), "document_id string, text string, n_removed int")

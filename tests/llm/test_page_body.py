@@ -1,29 +1,10 @@
 import itertools
 import random
 
-from evispark.llm import mincut, page_body
-from tests.llm.conftest import windows
+import numpy as np
 
-PAGE = """Vi på Berga använder kakor för att mäta besök, läs vår policy (nr 1)
-Acceptera alla
-Hem > Politik | Områden: rev 1 | Kultur – Sök
-Skola
-Du är här: Omsorg / Hemtjänst i Dal 2024
-Hemtjänst i Dal 2024
-Nämnden beslutade den 1 maj 2024 att utöka hemtjänsten i Dal med fler timmar per vecka.
-
-Avgifter
-- boendestöd
-Avgiften beräknas enligt taxan som fullmäktige antog i juni och gäller från årsskiftet.
-Se också
-Växelvård i Berga
-> Protokoll 2024-05-01 Nämnden nr 12
-Nästa steg
-Kungörelse om hemtjänst i Dal, aktbilaga 1, gäller från 2024-05-05.
-Hjälpte texten dig? Sätt ett betyg, svaren läses i Berga
-Senast uppdaterad 2024-05-06
-Ansvarig utgivare är kommunikationschefen i Berga"""
-FURNITURE = {1, 2, 3, 4, 5, 12, 13, 14, 17, 18, 19}
+from evispark.llm import line_model, mincut, page_body
+from tests.llm.conftest import windows
 
 
 def test_mincut_is_exact():
@@ -39,63 +20,119 @@ def test_mincut_is_exact():
         assert abs(energy(mincut.label(u, edges)) - min(map(energy, itertools.product([False, True], repeat=n)))) < 1e-9
 
 
-def test_page():
-    lines = page_body.Judge().page(PAGE, "Hemtjänst i Dal 2024")
-    assert {n for n, _, _, f in lines if f} == FURNITURE
-    assert {n for n, *_ in lines} == set(range(1, 20)) - {8}
-
-
-def test_damaged_characters_change_nothing():
-    damaged = PAGE.encode().decode("cp1252", "replace").replace("�", "")
-    assert {n for n, _, _, f in page_body.Judge().page(damaged, None) if f} == FURNITURE
-
-
-def test_tables(make_chunks, make_sources):
-    rows = windows("w", PAGE, 300, 50) * 2 + windows("p", PAGE) + windows("x", PAGE) + [("n", "n", 0, 0, None), ("e", "e", 0, 0, ""), (None, None, None, None, PAGE)]
-    src = make_sources([("w", "1", "u", None, "text/html", None), ("w", "1", "u", None, None, None), ("p", "1", "u", None, "application/pdf", None), ("e", "1", "u", None, "text/html", None)])
-    chunks = make_chunks(rows, extra=True)
-    got = {(r["document_id"], r["line_no"]) for r in page_body.label_lines(chunks, src, furniture_only=True).collect()}
-    assert got == {("w", n) for n in FURNITURE}
-    bodies = {r["document_id"]: r["text"] for r in page_body.page_bodies(chunks, src).collect()}
-    assert bodies["p"] == bodies["x"] == PAGE and bodies["w"].startswith("Hemtjänst i Dal 2024\nNämnden") and bodies["w"].endswith("2024-05-05.")
+class Site:
+    """Pages of a site in an invented language: no word is shared with any list, so only the pages themselves can tell."""
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+        self.words = ["".join(self.rng.choice("bdfgklmnprstv") + self.rng.choice("aeiouy") for _ in range(self.rng.randint(2, 4))) for _ in range(600)]
+        r = self.rng
+        self.menu = [r.choice(self.words).title() for _ in range(9)]
+        self.rare_menu = [r.choice(self.words).title() for _ in range(400)]
+        self.notice = " ".join(r.sample(self.words, 9)).capitalize()
+        self.footers = [" ".join(r.sample(self.words, r.randint(3, 6))).capitalize() for _ in range(7)]
+        self.links = " ".join(r.sample(self.words, 2)).capitalize()
+        self.subjects = [" ".join(r.sample(self.words, 2)).capitalize() for _ in range(4)]
+
+    def name(self):
+        return self.rng.choice(self.words).title()
+
+    def title(self):
+        return f"{self.rng.choice(self.subjects)} {self.name()} {self.rng.randint(1000, 9999)}"
+
+    def prose(self, n):
+        return " ".join(" ".join(self.rng.choices(self.words, k=self.rng.randint(8, 14))).capitalize() + f" {self.name()} {self.rng.randint(1, 99)}." for _ in range(n))
+
+    def page(self):
+        """``(title, lines, furniture)``."""
+        r = self.rng
+        title = self.title()
+        out = [(f"{self.notice} {self.name()} {r.randint(1, 999)}", True)]
+        # a menu of which one entry in five stands on hardly any other page
+        out += [(r.choice(self.rare_menu) if r.random() < 0.2 else entry, True) for entry in self.menu]
+        out += [(f"{self.menu[0]} / {title}", True), (title, False)]
+        for _ in range(r.randint(2, 4)):
+            out.append((self.prose(3), False))
+            if r.random() < 0.5:
+                out.append((" ".join(r.sample(self.words, 2)).capitalize(), False))
+                out.append((self.prose(2), False))
+            if r.random() < 0.3:  # a list of the body
+                out += [(f"- {' '.join(r.sample(self.words, 2))}", False) for _ in range(3)]
+            if r.random() < 0.5:  # a list of other pages, some of whose names are like no title
+                entries = [self.title(), self.title()] + [" ".join(r.sample(self.words, 2)).capitalize() for _ in range(2)]
+                r.shuffle(entries)
+                out += [(self.links, True)] + [(f"- {e}", True) for e in entries]
+            out.append(("", False))
+        out += [(self.links, True)] + [(f"- {self.title()}", True) for _ in range(3)]
+        out += [(f"{footer} {self.name()} {r.randint(1, 999)}", True) for footer in self.footers if r.random() < 0.8]
+        return title, [line for line, _ in out], {n for n, (_, furniture) in enumerate(out, 1) if furniture}
+
+
+def _collection(n_sites, n_pages):
+    rows, sources, truth = [], [], set()
+    for s in range(n_sites):
+        site = Site(s)
+        for k in range(n_pages):
+            title, lines, furniture = site.page()
+            doc = f"{s}-{k}"
+            rows += windows(doc, "\n".join(lines), 700, 100)
+            sources.append((doc, str(s), "u", None, "text/html", title if k % 7 else None))
+            truth |= {(doc, n) for n in furniture}
+    return rows, sources, truth
+
+
+def test_pages_of_unseen_wording(make_chunks, make_sources):
+    rows, sources, truth = _collection(3, 40)
+    # repeated rows, a PDF of the same wording, a document without metadata, null and empty texts
+    pdf = "\n".join(Site(0).page()[1])
+    rows += rows[:50] + windows("pdf", pdf) + windows("unknown", pdf) + [("n", "n", 0, 0, None), ("e", "e", 0, 0, ""), (None, None, None, None, "x")]
+    sources += sources[:5] + [("0-0", "0", "u", None, None, None), ("pdf", "0", "u", None, "application/pdf", None), ("e", "1", "u", None, "text/html", None)]
+    chunks, src = make_chunks(rows, extra=True), make_sources(sources)
+    labels = page_body.label_lines(chunks, src).collect()
+    cut = {(r["document_id"], r["line_no"]) for r in labels if r["furniture"]}
+    sign = {(r["document_id"], r["line_no"]) for r in labels if r["capacity"] > 0}
+    assert len({(r["document_id"], r["line_no"]) for r in labels}) == len(labels)
+    wrong_cut, wrong_sign = cut ^ truth, sign ^ truth
+    assert len(cut & truth) >= 0.95 * len(cut) and len(cut & truth) >= 0.95 * len(truth)
+    # the cut decides: it changes labels, and mends more than it spoils
+    assert len(cut ^ sign) >= 10 and len(wrong_cut) < len(wrong_sign), (len(cut ^ sign), len(wrong_cut), len(wrong_sign))
+    only = {(r["document_id"], r["line_no"]) for r in page_body.label_lines(chunks, src, furniture_only=True).collect()}
+    assert only == cut
+    bodies = {r["document_id"]: (r["text"], r["n_removed"]) for r in page_body.page_bodies(chunks, src).collect()}
+    assert bodies["pdf"] == bodies["unknown"] == (pdf, 0)
+    assert sum(n for _, n in bodies.values()) == len(cut)
+
+
+def test_nothing_to_learn_from(make_chunks, make_sources):
     assert page_body.label_lines(make_chunks([]), make_sources([])).collect() == []
+    one = page_body.label_lines(make_chunks(windows("a", "Eins\nZwei")), make_sources([("a", None, "u", None, "text/html", None)])).collect()
+    assert [r["furniture"] for r in one] == [False, False]
 
 
-PAD = " Uppgifterna om besöken sparas i högst tretton månader och lämnas aldrig vidare till någon annan"
-LONG_FURNITURE = [
-    "Vi på Berga använder kakor för att mäta besök",
-    "I Berga kommun finns kakor för att webbplatsen ska fungera",
-    "Anmäl dig till nyhetsbrevet",
-    "Berga kommun, 123 45 Berga, växel 0123-456 78",
-    "Receptionen har öppet vardagar 8-16",
-    "© Berga kommun, all rights reserved",
-    "Hem > Politik > Nämnder",
-]
-
-
-def _line(start, n):
-    return (start + PAD * (n // len(PAD) + 1))[:n - 1] + "x"
-
-
-def _furniture(line):
-    page = ["Hemtjänst i Dal 2024", "Nämnden beslutade den 1 maj 2024 att utöka hemtjänsten i Dal med fler timmar per vecka.", line, "Avgiften beräknas enligt taxan som fullmäktige antog i juni."]
-    return {n for n, _, _, f in page_body.Judge().page("\n".join(page), page[0]) if f}
+def test_damaged_characters_keep_the_template():
+    reader = line_model.Reader()
+    whole, damaged = reader.line("Så här överklagar du – nämnden i Åkers nr 12"), reader.line("Så här överklagar du – nämnden i Åkers nr 7".replace("å", "�").replace("ä", "ã"))
+    assert whole.template == damaged.template
+    assert reader.line("> Protokoll 2024 Dal").core == reader.line("PDF, 3 kB: Protokoll 1999 Berg").core == reader.line("Protokoll 17 Ed").core != 0
+    assert reader.line("a\tb").tabbed and reader.line("- x").bullet
 
 
-def test_cues_count_in_lines_of_any_length():
-    for start in LONG_FURNITURE:
-        for n in (200, 240, 241, 300, 480, 900):
-            assert _furniture(_line(start, n)) == {3}, (start, n)
-    late = "Berga kommun informerar om webbplatsen." + PAD * 3 + ". Vi använder kakor för att mäta besök"
-    assert len(late) > 300 and _furniture(late) == {3}
+def test_residue_is_no_furniture():
+    text = "Sidan kunde inte hittas\n\nMeny\nNämnden beslutade om detta."
+    assert page_body.residue_lines(text) == {1}
+    assert page_body.residue_lines("") == set()
 
 
-def test_long_menus_are_menus():
-    for n in (1, 20, 300):
-        assert _furniture("Hem Politik Kultur Skola Omsorg Trafik " * n + "Kontakt") == {3}
-        assert _furniture("Hem | Politik | Kultur | Skola | Berga | Trafik | " * n + "Kontakt") == {3}
+def test_lines_of_any_length_are_judged_whole():
+    reader = line_model.Reader()
+    short, long = reader.line("Kakor " * 20 + "slut"), reader.line("Kakor " * 5000 + "slut")
+    for x in (short, long):
+        ids, n = reader.word_ids(x)
+        assert {reader.id("kakor"), reader.id("slut"), reader.id("last slut")} <= set(ids[:n].tolist())
 
 
-def test_long_text_stays_body():
-    for line in (PAD * 4, PAD * 40 + " nyhetsbrevet" + PAD * 40, "данные " * 60, "a\tb" * 100):
-        assert _furniture(line) == set()
+def test_fit_weighs_both_labels():
+    page = line_model.SamplePage([[1, 2], [1, 3], [1, 2], [1, 3]], [0, 0, 0, 0], [1, -1, 1, -1], [-1, 0, 0, 0])
+    model = line_model.fit([page] * 20)
+    assert model.score(np.array([1, 2]), 0) > 1 and model.score(np.array([1, 3]), 0) < -1
+    assert line_model.fit([]).score(np.array([5]), 1) == 0
