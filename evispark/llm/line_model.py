@@ -103,8 +103,7 @@ class Line:
     open: int  # names and numbers
     bullet: bool
     key: str
-    ids: np.ndarray | None = None  # of the word features and those of the shape, when they were asked for
-    n_words: int = 0
+    score: float | None = None  # by the model that was asked last
 
 
 def _id(name: str) -> int:
@@ -161,16 +160,13 @@ class Reader:
             size >= PROSE and stops > 0, size, "\t" in bare, n_open, bool(_BULLET.match(folded)), " ".join(folded.lower().split()) if size < 400 else "",
         )
 
-    def word_ids(self, line: Line) -> tuple[np.ndarray, int]:
-        """Ids of the features of a line's words and shape, those of the words first, and how many those are."""
-        if line.ids is None:
-            ws, get = line.words, self.id
-            some = {get(w) for w in set(ws)}
-            if ws:
-                some.update((get(f"first {ws[0]}"), get(f"last {ws[-1]}"), get("begin " + " ".join(ws[:2])), get("end " + " ".join(ws[-2:]))))
-            line.n_words = len(some)
-            line.ids = np.array([*some, *(get(n) for n in line.shape)], np.int32)
-        return line.ids, line.n_words
+    def name_ids(self, line: Line) -> list[int]:
+        """Ids of the features of a line's words."""
+        ws, ids = line.words, self.ids
+        some = [ids[w] if w in ids else self.id(w) for w in set(ws)]
+        if ws:
+            some += [self.id(n) for n in (f"first {ws[0]}", f"last {ws[-1]}", "begin " + " ".join(ws[:2]), "end " + " ".join(ws[-2:]))]
+        return some
 
 
 @dataclass
@@ -259,43 +255,56 @@ def _announces(x: Line) -> bool:
     return x.key.split(" ", 1)[0].rstrip(":") in ANNOUNCEMENTS
 
 
-def _log(n: float) -> int:
-    return int(n).bit_length()
-
-
-def context_features(page: Page, i: int) -> list[str]:
+def context(page: Page, i: int) -> tuple:
+    """What can be said of a line from its page and site, in few values."""
     x, c, n = page.lines[i], page.counts[i], len(page.lines)
-    place = "only" if page.last < 0 else "above" if i < page.first else "below" if i > page.last else "within"
     share = c / page.pages
-    often = "once" if c <= 1 else "twice" if c < REPEATED else "rare" if share < 0.01 else "some" if share < 0.05 else "much" if share < 0.2 else "most"
-    out_share = round(page.outside[i] * 10) if page.everywhere[i] >= REPEATED else -1
-    length = x.shape[0]
-    after = page.lines[i + 1] if i + 1 < n else None
-    own_next = after is not None and page.own[i + 1]
-    own_prev = i > 0 and page.own[i - 1]
+    has_next = i + 1 < n
+    return (
+        "only" if page.last < 0 else "above" if i < page.first else "below" if i > page.last else "within",
+        "once" if c <= 1 else "twice" if c < REPEATED else "rare" if share < 0.01 else "some" if share < 0.05 else "much" if share < 0.2 else "most",
+        round(page.outside[i] * 10) if page.everywhere[i] >= REPEATED else -1,
+        x.shape[0],
+        min(i.bit_length(), 5),
+        min((n - 1 - i).bit_length(), 5),
+        x.size < PROSE,
+        has_next and page.own[i + 1],
+        i > 0 and page.own[i - 1],
+        page.gaps[i],
+        has_next and page.gaps[i + 1],
+        x.bullet,
+        page.linked[i],
+        x.prose,
+        min(page.again[x.template].bit_length(), 4),
+        "heading" if i == page.heading else "title" if page.titles[i] else "begins" if page.begins[i] else "",
+    )
+
+
+def context_features(values: tuple) -> list[str]:
+    place, often, outside, length, top, bottom, short, own_next, own_prev, gap, gap_next, bullet, linked, prose, again, title = values
     out = [
         f"place {place}",
         f"often {often}",
         f"often {often} {place}",
-        f"outside {out_share} {place}",
-        f"outside {out_share} {length}",
+        f"outside {outside} {place}",
+        f"outside {outside} {length}",
         f"often {often} {length}",
         f"{place} {length}",
-        f"top {min(_log(i), 5)}",
-        f"bottom {min(_log(n - 1 - i), 5)}",
-        f"next {own_next} {place} {x.size < PROSE}",
-        f"prev {own_prev} {place} {x.size < PROSE}",
-        f"gap {page.gaps[i]} {i + 1 < n and page.gaps[i + 1]} {place}",
-        f"bullet {x.bullet} {page.linked[i]} {place}",
-        f"prose {x.prose} {often} {place}",
-        f"again {min(_log(page.again[x.template]), 4)} {place}",
+        f"top {top}",
+        f"bottom {bottom}",
+        f"next {own_next} {place} {short}",
+        f"prev {own_prev} {place} {short}",
+        f"gap {gap} {gap_next} {place}",
+        f"bullet {bullet} {linked} {place}",
+        f"prose {prose} {often} {place}",
+        f"again {again} {place}",
     ]
-    if i == page.heading:
+    if title == "heading":
         out.append("heading")
-    elif page.titles[i]:
+    elif title == "title":
         out.append(f"title of another page {place}")
-    elif page.begins[i]:
-        out.append(f"begins like a title {x.prose} {x.bullet} {place}")
+    elif title == "begins":
+        out.append(f"begins like a title {prose} {bullet} {place}")
     return out
 
 
@@ -361,9 +370,9 @@ class Features:
 
     def of(self, page: Page, i: int) -> tuple[np.ndarray, int]:
         """Feature ids, those of the words first, and how many those are."""
-        fixed, n_words = self.reader.word_ids(page.lines[i])
-        get = self.reader.id
-        return np.concatenate([fixed, np.array([get(n) for n in context_features(page, i)], np.int32)]), n_words
+        x, get = page.lines[i], self.reader.id
+        ids = self.reader.name_ids(x)
+        return np.array([*ids, *(get(n) for n in x.shape), *(get(n) for n in context_features(context(page, i)))], np.int32), len(ids)
 
 
 @dataclass
@@ -377,14 +386,40 @@ class Model:
         return s + float(w[:n_words].sum()) / math.sqrt(n_words) if n_words else s
 
 
-def capacities(page: Page, model: Model, features: Features) -> tuple[list[float], list[tuple[int, int, float]]]:
+class Scorer:
+    """Scores of lines by a model; what is known of a line alone and of a context is scored once."""
+
+    def __init__(self, model: Model, reader: Reader):
+        self.model, self.reader = model, reader
+        self.weights = model.weights.tolist()
+        self.contexts: dict[tuple, float] = {}
+
+    def _alone(self, line: Line) -> float:
+        if line.score is None:
+            w, get = self.weights, self.reader.id
+            ids = self.reader.name_ids(line)
+            total = sum([w[k] for k in ids]) / math.sqrt(len(ids)) if ids else 0.0
+            line.score = total + sum([w[get(n)] for n in line.shape]) + w[0]
+        return line.score
+
+    def score(self, page: Page, i: int) -> float:
+        values = context(page, i)
+        got = self.contexts.get(values)
+        if got is None:
+            if len(self.contexts) > 200_000:
+                self.contexts.clear()
+            got = self.contexts[values] = sum(self.weights[self.reader.id(n)] for n in context_features(values))
+        return got + self._alone(page.lines[i])
+
+
+def capacities(page: Page, scorer: Scorer) -> tuple[list[float], list[tuple[int, int, float]]]:
     """Terminal capacities of a page's lines and the edges between neighbours."""
     unary, edges = [], []
     for i in range(len(page.lines)):
-        unary.append(RESIDUE if page.residue[i] else max(-BOUND, min(BOUND, SCALE * model.score(*features.of(page, i)))))
+        unary.append(RESIDUE if page.residue[i] else max(-BOUND, min(BOUND, SCALE * scorer.score(page, i))))
         if i:
             goes_on = page.residue[i - 1] and not page.gaps[i] and page.counts[i] < REPEATED
-            edges.append((i - 1, i, RESIDUE_EDGE if goes_on else model.edges[edge_kind(page, i)]))
+            edges.append((i - 1, i, RESIDUE_EDGE if goes_on else scorer.model.edges[edge_kind(page, i)]))
     return unary, edges
 
 

@@ -12,7 +12,6 @@ the cut of every page. Only hashes and counts are shuffled beside the texts them
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -23,8 +22,7 @@ from pyspark.sql import functions as F
 
 from evispark.llm import mincut
 from evispark.llm.assemble import documents, sorted_windows
-from evispark.llm.line_model import Features, Model, Page, Reader, SamplePage, arrange, capacities, fit, outside_prose, read, sample_page
-from evispark.llm.mojibake import PLAIN, repair
+from evispark.llm.line_model import Features, Model, Page, Reader, SamplePage, Scorer, arrange, capacities, fit, outside_prose, read, sample_page
 from evispark.llm.residue import find_residue
 from evispark.session import write_table
 
@@ -32,7 +30,6 @@ from evispark.session import write_table
 SAMPLE_PAGES, SAMPLE_CHARS = 2000, 50_000
 #: Parts into which the rows of one template and site are split where they are joined.
 SALTS = 16
-_DOUBTFUL = re.compile(f"[^{PLAIN}]")
 #: What a document says of a template: that it has it within its prose, before or after it, as its title.
 WITHIN, OUTSIDE, TITLE = 1, 2, 4
 _ALL_PAGES = 0  # stands for every page of a site
@@ -46,14 +43,6 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def readable(text: str) -> str:
-    """The text with damaged characters restored, if that leaves its lines where they are."""
-    if not text.isascii() and _DOUBTFUL.search(text):
-        fixed = repair(text)[0]
-        return fixed if fixed.count("\n") == text.count("\n") else text
-    return text
-
-
 def residue_lines(text: str) -> set[int]:
     """Numbers of the lines of which residue of problem 2, fields apart, covers at least half."""
     found = [(a, b) for kind, a, b in find_residue(text) if kind != "field"]
@@ -74,17 +63,17 @@ def residue_lines(text: str) -> set[int]:
 
 # --- templates -------------------------------------------------------------------------------------------------------
 
-_TEMPLATES_SCHEMA = "site string, template bigint, document_id string, cluster bigint, flags int"
+_TEMPLATES_SCHEMA = "site string, document_id string, cluster bigint, templates array<bigint>, flags array<tinyint>"
 
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every template that a page asks about, once, with what the page says of it."""
+    """By page every template that it asks about, with what the page says of it."""
     reader = Reader()
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32()]
-    names = ["site", "template", "document_id", "cluster", "flags"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8())]
+    names = ["site", "document_id", "cluster", "templates", "flags"]
     cols: list[list] = [[] for _ in range(5)]
     for doc, meta, text in documents(batches, _is_page):
-        _, lines = read(readable(text), reader)
+        _, lines = read(text, reader)
         flags = {_ALL_PAGES: WITHIN}
         for x, outside in zip(lines, outside_prose(lines, meta["title"])):
             flags[x.template] = flags.get(x.template, 0) | (OUTSIDE if outside else WITHIN)
@@ -96,23 +85,22 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for of_title in (x.template, x.begin):
                 if of_title:
                     flags[of_title] = flags.get(of_title, 0) | TITLE
-        cluster = _signed(xxhash.xxh3_64_intdigest(text))
-        n = len(flags)
-        for c, v in zip(cols, ([meta["municipality_id"] or ""] * n, flags.keys(), [doc] * n, [cluster] * n, flags.values())):
-            c += v
-        if len(cols[0]) >= 16384:
+        for c, v in zip(cols, (meta["municipality_id"] or "", doc, _signed(xxhash.xxh3_64_intdigest(text)), list(flags), list(flags.values()))):
+            c.append(v)
+        if len(cols[0]) >= 512:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
             cols = [[] for _ in range(5)]
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
 def template_facts(chunks: DataFrame, sources: DataFrame) -> DataFrame:
-    """``document_id, fact`` (template, pages of the site, pages of all, of those outside prose, titles) for each page's templates.
+    """``document_id, fact``: by page its templates, each followed by pages of the site, pages of all, of those outside prose, titles.
 
     Copies of a page count once. Templates of a single page and no title are left out: that is what no fact means. Rows of
     one site and template are counted in parts, and joined in ``SALTS`` parts by document.
     """
-    rows = write_table(sorted_windows(chunks, sources).mapInArrow(_templates, _TEMPLATES_SCHEMA), "templates")
+    said = write_table(sorted_windows(chunks, sources).mapInArrow(_templates, _TEMPLATES_SCHEMA), "templates")
+    rows = said.select("site", "document_id", "cluster", F.explode(F.arrays_zip("templates", "flags")).alias("said")).select("site", "document_id", "cluster", F.col("said.templates").alias("template"), F.col("said.flags").alias("flags"))
     by_page = rows.groupBy("site", "template", "cluster").agg(F.bit_or("flags").alias("flags"))
 
     def has(flag: int):
@@ -126,13 +114,12 @@ def template_facts(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     stats = by_site.select("site", "template", "n").join(known, "template").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     asked = rows.select("site", "template", "document_id", F.expr(f"cast(pmod(xxhash64(document_id), {SALTS}) as int)").alias("salt"))
     fact = F.array(*(F.col(c).cast("bigint") for c in ("template", "n", "pages", "outside", "titles")))
-    return asked.join(stats, ["site", "template", "salt"]).select("document_id", fact.alias("fact"))
+    return asked.join(stats, ["site", "template", "salt"]).groupBy("document_id").agg(F.flatten(F.collect_list(fact)).alias("fact"))
 
 
 def _page(meta: dict, text: str, reader: Reader) -> Page:
-    known = {f[0]: (max(f[1], 1), max(f[2], 1), f[3], f[4]) for f in meta["facts"]}
+    known = {t: (max(n, 1), max(pages, 1), outside, titles) for f in meta["facts"] for t, n, pages, outside, titles in zip(*[iter(f)] * 5)}
     pages = known.pop(_ALL_PAGES, (1, 1, 0, 0))[0]
-    text = readable(text)
     return arrange(text, meta["title"], known, pages, residue_lines(text), reader)
 
 
@@ -166,22 +153,22 @@ def fit_model(chunks: DataFrame, sources: DataFrame, facts: DataFrame) -> Model:
 _LABELS_SCHEMA = "document_id string, line_no int, capacity double, furniture boolean"
 
 
-def cut_page(page: Page, model: Model, features: Features) -> tuple[list[float], list[bool]]:
+def cut_page(page: Page, scorer: Scorer) -> tuple[list[float], list[bool]]:
     """Terminal capacities and labels of a page's lines."""
-    unary, edges = capacities(page, model, features)
+    unary, edges = capacities(page, scorer)
     return unary, mincut.label(unary, edges)
 
 
 def _label(model: Model, furniture_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
-        features = Features(reader)
+        scorer = Scorer(model, reader)
         types = [pa.string(), pa.int32(), pa.float64(), pa.bool_()]
         names = ["document_id", "line_no", "capacity", "furniture"]
         cols: list[list] = [[] for _ in range(4)]
         for doc, meta, text in documents(batches, _is_page):
             page = _page(meta, text, reader)
-            for n, capacity, furniture in zip(page.numbers, *cut_page(page, model, features)):
+            for n, capacity, furniture in zip(page.numbers, *cut_page(page, scorer)):
                 if furniture or not furniture_only:
                     for c, v in zip(cols, (doc, n, capacity, furniture)):
                         c.append(v)
@@ -212,12 +199,12 @@ def label_lines(chunks: DataFrame, sources: DataFrame, furniture_only: bool = Fa
 def _bodies(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
-        features = Features(reader)
+        scorer = Scorer(model, reader)
         for doc, meta, text in documents(batches):
             gone: set[int] = set()
             if _is_page(meta):
                 page = _page(meta, text, reader)
-                gone = {n for n, furniture in zip(page.numbers, cut_page(page, model, features)[1]) if furniture}
+                gone = {n for n, furniture in zip(page.numbers, cut_page(page, scorer)[1]) if furniture}
             body = "\n".join(line for n, line in enumerate(text.split("\n"), 1) if n not in gone) if gone else text
             yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([body]), pa.array([len(gone)], pa.int32())], names=["document_id", "text", "n_removed"])
 

@@ -127,12 +127,11 @@ def test_lines_of_any_length_are_judged_whole():
     reader = line_model.Reader()
     short, long = reader.line("Kakor " * 20 + "slut"), reader.line("Kakor " * 5000 + "slut")
     for x in (short, long):
-        ids, n = reader.word_ids(x)
-        assert {reader.id("kakor"), reader.id("slut"), reader.id("last slut")} <= set(ids[:n].tolist())
+        assert {reader.id("kakor"), reader.id("slut"), reader.id("last slut")} <= set(reader.name_ids(x))
 
 
 def test_fit_weighs_both_labels():
     page = line_model.SamplePage([[1, 2], [1, 3], [1, 2], [1, 3]], [0, 0, 0, 0], [1, -1, 1, -1], [-1, 0, 0, 0])
     model = line_model.fit([page] * 20)
-    assert model.score(np.array([1, 2]), 0) > 1 and model.score(np.array([1, 3]), 0) < -1
+    assert model.score(np.array([1, 2]), 0) > 0.1 and model.score(np.array([1, 3]), 0) < -0.1
     assert line_model.fit([]).score(np.array([5]), 1) == 0
