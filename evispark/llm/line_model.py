@@ -33,10 +33,9 @@ PROSE, PARAGRAPH = 60, 180
 _TO_LATIN = str.maketrans({c: latin for latin, twins in TWINS.items() for c in twins} | {0xFF01 + k: 0x21 + k for k in range(94)} | {"»": ">", "›": ">", "·": "|", "–": "-", "—": "-", "•": "*", "©": "@"})
 _RARE = re.compile(r"[^\x00-\x7f]+")
 _ODD = re.compile("[^\x00-\x7fåäöÅÄÖ–»·•©]")
-_WORD = re.compile(r"[A-Za-z]*\d[\w./:-]*|[A-Za-z]+|[^\w\s]")
-_FULL_STOP = re.compile(r"[.!?]['\")]*(?:\s|$)")
-_SEPARATOR = re.compile(r"[>|/]| - ")
+_WORD = re.compile(r"[A-Za-z]+(?:\d[\w./:-]*)?|\d[\w./:-]*|[^\w\s]")
 _OPEN = re.compile(r" 0(?: [-/.,()+0])* ")
+_STOPS, _SEPARATORS = (".", "!", "?"), frozenset(">|/")
 _MARK = re.compile(r"^\s*[*>|-]\s*|^[^:]{1,24}:\s+")
 _BULLET = re.compile(r"\s*(?:[*>|-]|\d+[.)])\s")
 
@@ -96,7 +95,8 @@ class Line:
     core: int  # the template without a list mark or a label before a colon
     begin: int  # the first two words of that
     words: list[str]
-    shape: tuple[str, ...]
+    length: str
+    stops: int
     prose: bool
     size: int
     tabbed: bool
@@ -140,26 +140,28 @@ class Reader:
         ws = words(folded)
         bare = text.strip()
         size = len(bare)
-        stops = len(_FULL_STOP.findall(folded))
+        stops = folded.count(". ") + folded.count("? ") + folded.count("! ") + (bare[-1:] in _STOPS)
         marked = _MARK.match(folded)
         core = words(folded[marked.end() :]) if marked else ws
-        zeros = ws.count("0")
-        n_open, n = zeros + ws.count("X"), len(ws) or 1
-        shape = (
-            f"length {min(size.bit_length(), 10)}",
-            f"stops {min(stops, 3)}",
-            f"end {'stop' if bare[-1:] in '.!?' else 'colon' if bare[-1:] in ':;,' else 'dots' if bare[-1:] == '…' else 'word'}",
-            f"separators {min(len(_SEPARATOR.findall(folded)), 4)}",
-            f"open {round(4 * n_open / n)}",
-            f"digits {round(5 * zeros / n)}",
-            f"tabs {min(bare.count(chr(9)), 2)}",
-        )
         full = template(ws)
         return Line(
-            text, full, (template(core) if marked else full) if len(core) > 2 else 0, beginning(core), ws, shape,
-            size >= PROSE and stops > 0, size, "\t" in bare, n_open, bool(_BULLET.match(folded)), " ".join(folded.lower().split()) if size < 400 else "",
+            text, full, (template(core) if marked else full) if len(core) > 2 else 0, beginning(core), ws, f"length {min(size.bit_length(), 10)}", stops,
+            size >= PROSE and stops > 0, size, "\t" in bare, ws.count("0") + ws.count("X"), bool(_BULLET.match(folded)), " ".join(folded.lower().split()) if size < 400 else "",
         )
 
+    def shape(self, line: Line) -> tuple[str, ...]:
+        bare, ws, n = line.text.strip(), line.words, len(line.words) or 1
+        separators = sum(w in _SEPARATORS for w in ws)
+        return (
+            line.length,
+            f"stops {min(line.stops, 3)}",
+            f"end {'stop' if bare[-1:] in _STOPS else 'colon' if bare[-1:] in (':', ';', ',') else 'dots' if bare[-1:] == '…' else 'word'}",
+            f"separators {min(separators, 4)}",
+            f"open {round(4 * line.open / n)}",
+            f"digits {round(5 * ws.count('0') / n)}",
+            f"tabs {min(bare.count(chr(9)), 2)}",
+        )
+
     def name_ids(self, line: Line) -> list[int]:
         """Ids of the features of a line's words."""
         ws, ids = line.words, self.ids
@@ -264,7 +266,7 @@ def context(page: Page, i: int) -> tuple:
         "only" if page.last < 0 else "above" if i < page.first else "below" if i > page.last else "within",
         "once" if c <= 1 else "twice" if c < REPEATED else "rare" if share < 0.01 else "some" if share < 0.05 else "much" if share < 0.2 else "most",
         round(page.outside[i] * 10) if page.everywhere[i] >= REPEATED else -1,
-        x.shape[0],
+        x.length,
         min(i.bit_length(), 5),
         min((n - 1 - i).bit_length(), 5),
         x.size < PROSE,
@@ -361,7 +363,7 @@ def edge_kind(page: Page, i: int) -> int:
         return 5
     if page.own[i - 1] != page.own[i]:
         return 3
-    return 2 if a.bullet == b.bullet and a.shape[0] == b.shape[0] and a.prose == b.prose else 0
+    return 2 if a.bullet == b.bullet and a.length == b.length and a.prose == b.prose else 0
 
 
 class Features:
@@ -372,7 +374,7 @@ class Features:
         """Feature ids, those of the words first, and how many those are."""
         x, get = page.lines[i], self.reader.id
         ids = self.reader.name_ids(x)
-        return np.array([*ids, *(get(n) for n in x.shape), *(get(n) for n in context_features(context(page, i)))], np.int32), len(ids)
+        return np.array([*ids, *(get(n) for n in self.reader.shape(x)), *(get(n) for n in context_features(context(page, i)))], np.int32), len(ids)
 
 
 @dataclass
@@ -399,7 +401,7 @@ class Scorer:
             w, get = self.weights, self.reader.id
             ids = self.reader.name_ids(line)
             total = sum([w[k] for k in ids]) / math.sqrt(len(ids)) if ids else 0.0
-            line.score = total + sum([w[get(n)] for n in line.shape]) + w[0]
+            line.score = total + sum([w[get(n)] for n in self.reader.shape(line)]) + w[0]
         return line.score
 
     def score(self, page: Page, i: int) -> float:

@@ -150,7 +150,7 @@ def fit_model(chunks: DataFrame, sources: DataFrame, facts: DataFrame) -> Model:
 
 # --- the cut ---------------------------------------------------------------------------------------------------------
 
-_LABELS_SCHEMA = "document_id string, line_no int, capacity double, furniture boolean"
+_LABELS_SCHEMA = "document_id string, line_no array<int>, capacity array<double>, furniture array<boolean>"
 
 
 def cut_page(page: Page, scorer: Scorer) -> tuple[list[float], list[bool]]:
@@ -163,16 +163,16 @@ def _label(model: Model, furniture_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         scorer = Scorer(model, reader)
-        types = [pa.string(), pa.int32(), pa.float64(), pa.bool_()]
+        types = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.bool_())]
         names = ["document_id", "line_no", "capacity", "furniture"]
         cols: list[list] = [[] for _ in range(4)]
         for doc, meta, text in documents(batches, _is_page):
             page = _page(meta, text, reader)
-            for n, capacity, furniture in zip(page.numbers, *cut_page(page, scorer)):
-                if furniture or not furniture_only:
-                    for c, v in zip(cols, (doc, n, capacity, furniture)):
-                        c.append(v)
-            if len(cols[0]) >= 16384:
+            capacity, furniture = cut_page(page, scorer)
+            values = ([n for n, f in zip(page.numbers, furniture) if f], None, None) if furniture_only else (page.numbers, capacity, furniture)
+            for c, v in zip(cols, (doc, *values)):
+                c.append(v)
+            if len(cols[0]) >= 512:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
                 cols = [[] for _ in range(4)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
@@ -186,14 +186,18 @@ def _judged(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, Model]:
 
 
 def label_lines(chunks: DataFrame, sources: DataFrame, furniture_only: bool = False) -> DataFrame:
-    """Non-blank lines of web pages: ``document_id, line_no, capacity, furniture``.
+    """Non-blank lines of web pages: ``document_id, line_no, capacity, furniture``; of furniture only the first two, if so wished.
 
     A page is labelled from its whole text. Documents of another media type, or without metadata, are no web pages and have
     no rows, nor have null and empty texts. Pages without a municipality count as one site. Repeated rows change nothing;
     extra columns are not read. A collection in which nothing repeats labels no line as furniture.
     """
     windows, model = _judged(chunks, sources)
-    return windows.mapInArrow(_label(model, furniture_only), _LABELS_SCHEMA)
+    labels = windows.mapInArrow(_label(model, furniture_only), _LABELS_SCHEMA)
+    if furniture_only:
+        return labels.select("document_id", F.explode("line_no").alias("line_no"))
+    one = F.explode(F.arrays_zip("line_no", "capacity", "furniture")).alias("line")
+    return labels.select("document_id", one).select("document_id", "line.line_no", "line.capacity", "line.furniture")
 
 
 def _bodies(model: Model):
