@@ -9,6 +9,7 @@ log-odds of every line, of any wording; how often neighbouring labelled lines ag
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections import Counter
@@ -35,7 +36,7 @@ _RARE = re.compile(r"[^\x00-\x7f]+")
 _ODD = re.compile("[^\x00-\x7fåäöÅÄÖ–»·•©]")
 _WORD = re.compile(r"[A-Za-z]+(?:\d[\w./:-]*)?|\d[\w./:-]*|[^\w\s]")
 _OPEN = re.compile(r" 0(?: [-/.,()+0])* ")
-_STOPS, _SEPARATORS = (".", "!", "?"), frozenset(">|/")
+_STOPS = (".", "!", "?")
 _MARK = re.compile(r"^\s*[*>|-]\s*|^[^:]{1,24}:\s+")
 _BULLET = re.compile(r"\s*(?:[*>|-]|\d+[.)])\s")
 
@@ -52,24 +53,27 @@ def fold(line: str) -> str:
 def words(folded: str) -> list[str]:
     """Words and signs: anything with a digit is ``0``, a capitalised word after the first is ``X``."""
     found = _WORD.findall(folded)
-    out = [_CODE[w] if w in _CODE else _code(w) for w in found]
+    out = list(map(_CODES.__getitem__, found))
     if found and out[0] == "X":
         out[0] = found[0].lower()
     return out
 
 
-_CODE: dict[str, str] = {}
+class _Codes(dict):
+    """What stands for a word; worked out once."""
 
+    def __missing__(self, w: str) -> str:
+        if w.isalpha():
+            code = "X" if w[0].isupper() and not w.isupper() else w.lower()
+        else:
+            code = w if len(w) == 1 and not w.isdigit() else "0"
+        if len(self) > 200_000:
+            self.clear()
+        self[w] = code
+        return code
 
-def _code(w: str) -> str:
-    if w.isalpha():
-        code = "X" if w[0].isupper() and not w.isupper() else w.lower()
-    else:
-        code = w if len(w) == 1 and not w.isdigit() else "0"
-    if len(_CODE) > 200_000:
-        _CODE.clear()
-    _CODE[w] = code
-    return code
+
+_CODES = _Codes()
 
 
 def template(ws: list[str]) -> int:
@@ -86,7 +90,7 @@ def plain_key(line: str) -> str:
     return " ".join(fold(line).lower().split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     """A non-blank line: what can be said of it alone."""
 
@@ -111,9 +115,13 @@ def _id(name: str) -> int:
 
 
 class Reader:
-    """Describes lines; remembers short ones, as a site repeats them, and the ids of features."""
+    """Describes lines; remembers short ones, as a site repeats them, and the ids of features.
+
+    What is remembered is long-lived and free of cycles, so the collector of cycles is told to look at it more rarely.
+    """
 
     def __init__(self):
+        gc.set_threshold(50_000, 20, 50)
         self.lines: dict[str, Line] = {}
         self.ids: dict[str, int] = {}
 
@@ -151,7 +159,7 @@ class Reader:
 
     def shape(self, line: Line) -> tuple[str, ...]:
         bare, ws, n = line.text.strip(), line.words, len(line.words) or 1
-        separators = sum(w in _SEPARATORS for w in ws)
+        separators = ws.count(">") + ws.count("|") + ws.count("/")
         return (
             line.length,
             f"stops {min(line.stops, 3)}",
@@ -171,7 +179,7 @@ class Reader:
         return some
 
 
-@dataclass
+@dataclass(slots=True)
 class Page:
     """A page's non-blank lines with everything that is known before the fit."""
 

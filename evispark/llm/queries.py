@@ -52,6 +52,11 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(_table(spark, sf_dir, "chunks"))
 
 
+def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By document the share of its text that is residue, and whether it is left out for it."""
+    return residue.document_residue(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "sources"))
+
+
 # 3: page boilerplate
 
 
