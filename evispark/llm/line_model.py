@@ -172,11 +172,16 @@ class Reader:
 
     def name_ids(self, line: Line) -> list[int]:
         """Ids of the features of a line's words."""
-        ws, ids = line.words, self.ids
-        some = [ids[w] if w in ids else self.id(w) for w in set(ws)]
-        if ws:
-            some += [self.id(n) for n in (f"first {ws[0]}", f"last {ws[-1]}", "begin " + " ".join(ws[:2]), "end " + " ".join(ws[-2:]))]
-        return some
+        return [self.id(n) for n in word_features(line)]
+
+
+def word_features(line: Line) -> list[str]:
+    """A line's words, each once, the first and last of them, and the first and last two."""
+    ws = line.words
+    some = list(set(ws))
+    if ws:
+        some += [f"first {ws[0]}", f"last {ws[-1]}", "begin " + " ".join(ws[:2]), "end " + " ".join(ws[-2:])]
+    return some
 
 
 @dataclass(slots=True)
@@ -196,6 +201,7 @@ class Page:
     last: int = 0
     heading: int | None = None
     gaps: list[bool] = field(default_factory=list)
+    kinds: list[int] = field(default_factory=list)  # of the edge to the line before
     linked: list[bool] = field(default_factory=list)  # in a list of titles of other pages
     own: list[bool] = field(default_factory=list)  # prose and tables that other pages don't hold
     again: Counter = field(default_factory=Counter)  # lines of the page by template
@@ -257,6 +263,7 @@ def arrange(text: str, title: str | None, site: dict[int, Stats], pages: int, re
     inner = own + ([page.heading] if page.heading is not None else [])
     page.first, page.last = (min(inner), _with_lists(lines, max(inner))) if inner else (len(lines), -1)
     page.gaps = [bool(i) and numbers[i] - numbers[i - 1] > 1 for i in range(len(lines))]
+    page.kinds = [edge_kind(page, i) if i else -1 for i in range(len(lines))]
     page.linked = _lists_of_titles(page)
     return page
 
@@ -323,7 +330,7 @@ def _lists_of_titles(page: Page) -> list[bool]:
     out = [False] * len(page.lines)
     start = 0
     for i in range(1, len(page.lines) + 1):
-        if i == len(page.lines) or edge_kind(page, i) not in (2, 4):
+        if i == len(page.lines) or page.kinds[i] not in (2, 4):
             n_titles = sum((page.titles[k] or page.begins[k]) and k != page.heading and not page.own[k] for k in range(start, i))
             if i - start > 1 and 2 * n_titles >= i - start:
                 out[start:i] = [True] * (i - start)
@@ -396,20 +403,33 @@ class Model:
         return s + float(w[:n_words].sum()) / math.sqrt(n_words) if n_words else s
 
 
+class _Weights(dict):
+    """Weights of features by name; worked out once."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.all = weights.tolist()
+
+    def __missing__(self, name: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[name] = self.all[_id(name)]
+        return got
+
+
 class Scorer:
     """Scores of lines by a model; what is known of a line alone and of a context is scored once."""
 
     def __init__(self, model: Model, reader: Reader):
         self.model, self.reader = model, reader
-        self.weights = model.weights.tolist()
+        self.weight = _Weights(model.weights).__getitem__
+        self.bias = float(model.weights[0])
         self.contexts: dict[tuple, float] = {}
 
     def _alone(self, line: Line) -> float:
         if line.score is None:
-            w, get = self.weights, self.reader.id
-            ids = self.reader.name_ids(line)
-            total = sum([w[k] for k in ids]) / math.sqrt(len(ids)) if ids else 0.0
-            line.score = total + sum([w[get(n)] for n in self.reader.shape(line)]) + w[0]
+            names = word_features(line)
+            line.score = sum(map(self.weight, self.reader.shape(line))) + self.bias + (sum(map(self.weight, names)) / math.sqrt(len(names)) if names else 0.0)
         return line.score
 
     def score(self, page: Page, i: int) -> float:
@@ -418,7 +438,7 @@ class Scorer:
         if got is None:
             if len(self.contexts) > 200_000:
                 self.contexts.clear()
-            got = self.contexts[values] = sum(self.weights[self.reader.id(n)] for n in context_features(values))
+            got = self.contexts[values] = sum(map(self.weight, context_features(values)))
         return got + self._alone(page.lines[i])
 
 
@@ -429,7 +449,7 @@ def capacities(page: Page, scorer: Scorer) -> tuple[list[float], list[tuple[int,
         unary.append(RESIDUE if page.residue[i] else max(-BOUND, min(BOUND, SCALE * scorer.score(page, i))))
         if i:
             goes_on = page.residue[i - 1] and not page.gaps[i] and page.counts[i] < REPEATED
-            edges.append((i - 1, i, RESIDUE_EDGE if goes_on else scorer.model.edges[edge_kind(page, i)]))
+            edges.append((i - 1, i, RESIDUE_EDGE if goes_on else scorer.model.edges[page.kinds[i]]))
     return unary, edges
 
 
@@ -449,7 +469,7 @@ def sample_page(page: Page, features: Features) -> SamplePage:
         [f.tolist() for f, _ in described],
         [n for _, n in described],
         [weak_label(page, i) for i in range(len(page.lines))],
-        [-1 if i == 0 or page.residue[i] or page.residue[i - 1] else edge_kind(page, i) for i in range(len(page.lines))],
+        [-1 if i == 0 or page.residue[i] or page.residue[i - 1] else page.kinds[i] for i in range(len(page.lines))],
     )
 
 

@@ -28,8 +28,9 @@ from evispark.session import write_table
 
 #: The bounded sample of the fit: so many pages, by the hash of their id, of those with at most so many characters.
 SAMPLE_PAGES, SAMPLE_CHARS = 2000, 50_000
-#: Parts into which the rows of one template and site are split where they are joined.
-SALTS = 16
+#: Parts into which the rows of one template and site are split where they are joined: a page has one at most among its own,
+#: so the largest site's rows of one template are few of all, and a few parts even them out.
+SALTS = 4
 #: What a document says of a template: that it has it within its prose, before or after it, as its title.
 WITHIN, OUTSIDE, TITLE = 1, 2, 4
 _ALL_PAGES = 0  # stands for every page of a site
