@@ -19,6 +19,7 @@ import numpy as np
 import xxhash
 
 from evispark.llm.lookalike import TWINS
+from evispark.llm.residue import covered_length, find_residue
 
 #: Size of the hashed feature space, rounds, rows of a step, rate and decay of the fit.
 DIMENSIONS, EPOCHS, STEP, RATE, DECAY = 1 << 15, 12, 256, 0.05, 1e-4
@@ -107,6 +108,7 @@ class Line:
     open: int  # names and numbers
     bullet: bool
     key: str
+    residue: bool  # short, and at least half of it residue of problem 2
     score: float | None = None  # by the model that was asked last
 
 
@@ -114,13 +116,19 @@ def _id(name: str) -> int:
     return xxhash.xxh3_64_intdigest(name) % (DIMENSIONS - 1) + 1
 
 
+def is_residue(line: str) -> bool:
+    """Whether residue of problem 2, fields apart, covers at least half of a line: it is neither furniture nor evidence."""
+    return 2 * covered_length([x for x in find_residue(line) if x[0] != "field"]) >= max(len(line), 1)
+
+
 class Reader:
     """Describes lines; remembers short ones, as a site repeats them, and the ids of features.
 
     What is remembered is long-lived and free of cycles, so the collector of cycles is told to look at it more rarely.
     """
 
-    def __init__(self):
+    def __init__(self, wants_residue: bool = True):
+        self.wants_residue = wants_residue
         gc.set_threshold(50_000, 20, 50)
         self.lines: dict[str, Line] = {}
         self.ids: dict[str, int] = {}
@@ -155,6 +163,7 @@ class Reader:
         return Line(
             text, full, (template(core) if marked else full) if len(core) > 2 else 0, beginning(core), ws, f"length {min(size.bit_length(), 10)}", stops,
             size >= PROSE and stops > 0, size, "\t" in bare, ws.count("0") + ws.count("X"), bool(_BULLET.match(folded)), " ".join(folded.lower().split()) if size < 400 else "",
+            self.wants_residue and (size < PROSE or not stops) and is_residue(bare),
         )
 
     def shape(self, line: Line) -> tuple[str, ...]:
@@ -196,7 +205,6 @@ class Page:
     begins: list[bool]  # whether it begins as titles do, and names or counts something
     outside: list[float]  # share of them that hold it before or after their prose
     pages: int  # different pages of the site
-    residue: list[bool]  # of problem 2: neither furniture nor evidence
     first: int = 0  # first and last line of the page's own prose
     last: int = 0
     heading: int | None = None
@@ -245,12 +253,12 @@ Stats = tuple[int, int, int, int]
 _NEW: Stats = (1, 1, 0, 0)
 
 
-def arrange(text: str, title: str | None, site: dict[int, Stats], pages: int, residue_lines: set[int], reader: Reader) -> Page:
+def arrange(text: str, title: str | None, site: dict[int, Stats], pages: int, reader: Reader) -> Page:
     numbers, lines = read(text, reader)
     stats = [site.get(x.template, _NEW) for x in lines]
     counts = [s[0] for s in stats]
     titles = [(s[3] or x.core and site.get(x.core, _NEW)[3]) > 1 for x, s in zip(lines, stats)]
-    page = Page(numbers, lines, counts, [s[1] for s in stats], titles, [x.open > 0 and x.begin != 0 and site.get(x.begin, _NEW)[3] >= REPEATED for x in lines], [s[2] / s[1] for s in stats], max(pages, 1), [n in residue_lines for n in numbers])
+    page = Page(numbers, lines, counts, [s[1] for s in stats], titles, [x.open > 0 and x.begin != 0 and site.get(x.begin, _NEW)[3] >= REPEATED for x in lines], [s[2] / s[1] for s in stats], max(pages, 1))
     page.again = again = Counter(x.template for x in lines)
     page.own = [
         not is_title and ((x.prose or x.tabbed) and c <= OWN or x.open >= 2 and again[x.template] >= ROWS or _announces(x)) for x, c, is_title in zip(lines, counts, titles)
@@ -341,7 +349,7 @@ def _lists_of_titles(page: Page) -> list[bool]:
 def weak_label(page: Page, i: int) -> int:
     """1 furniture, -1 body, 0 not known, from the repetition within the site, the heading and the page's own prose."""
     x, c = page.lines[i], page.counts[i]
-    if page.residue[i]:
+    if page.lines[i].residue:
         return 0
     if i == page.heading:
         return -1
@@ -446,9 +454,9 @@ def capacities(page: Page, scorer: Scorer) -> tuple[list[float], list[tuple[int,
     """Terminal capacities of a page's lines and the edges between neighbours."""
     unary, edges = [], []
     for i in range(len(page.lines)):
-        unary.append(RESIDUE if page.residue[i] else max(-BOUND, min(BOUND, SCALE * scorer.score(page, i))))
+        unary.append(RESIDUE if page.lines[i].residue else max(-BOUND, min(BOUND, SCALE * scorer.score(page, i))))
         if i:
-            goes_on = page.residue[i - 1] and not page.gaps[i] and page.counts[i] < REPEATED
+            goes_on = page.lines[i - 1].residue and not page.gaps[i] and page.counts[i] < REPEATED
             edges.append((i - 1, i, RESIDUE_EDGE if goes_on else scorer.model.edges[page.kinds[i]]))
     return unary, edges
 
@@ -469,7 +477,7 @@ def sample_page(page: Page, features: Features) -> SamplePage:
         [f.tolist() for f, _ in described],
         [n for _, n in described],
         [weak_label(page, i) for i in range(len(page.lines))],
-        [-1 if i == 0 or page.residue[i] or page.residue[i - 1] else page.kinds[i] for i in range(len(page.lines))],
+        [-1 if i == 0 or page.lines[i].residue or page.lines[i - 1].residue else page.kinds[i] for i in range(len(page.lines))],
     )
 
 

@@ -12,7 +12,6 @@ the cut of every page. Only hashes and counts are shuffled beside the texts them
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from evispark.llm import mincut
 from evispark.llm.assemble import documents, sorted_windows
 from evispark.llm.line_model import Features, Model, Page, Reader, SamplePage, Scorer, arrange, capacities, fit, outside_prose, read, sample_page
-from evispark.llm.residue import find_residue
 from evispark.session import write_table
 
 #: The bounded sample of the fit: so many pages, by the hash of their id, of those with at most so many characters.
@@ -44,24 +42,6 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def residue_lines(text: str) -> set[int]:
-    """Numbers of the lines of which residue of problem 2, fields apart, covers at least half."""
-    found = [(a, b) for kind, a, b in find_residue(text) if kind != "field"]
-    if not found:
-        return set()
-    lines = text.split("\n")
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line) + 1)
-    covered: dict[int, int] = {}
-    for a, b in found:
-        i = bisect_right(starts, a) - 1
-        while i < len(lines) and starts[i] < b:
-            covered[i] = covered.get(i, 0) + min(b, starts[i + 1] - 1) - max(a, starts[i])
-            i += 1
-    return {i + 1 for i, n in covered.items() if 2 * n >= len(lines[i].strip())}
-
-
 # --- templates -------------------------------------------------------------------------------------------------------
 
 _TEMPLATES_SCHEMA = "site string, document_id string, cluster bigint, templates array<bigint>, flags array<tinyint>"
@@ -69,7 +49,7 @@ _TEMPLATES_SCHEMA = "site string, document_id string, cluster bigint, templates
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By page every template that it asks about, with what the page says of it."""
-    reader = Reader()
+    reader = Reader(wants_residue=False)
     types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8())]
     names = ["site", "document_id", "cluster", "templates", "flags"]
     cols: list[list] = [[] for _ in range(5)]
@@ -121,7 +101,7 @@ def template_facts(chunks: DataFrame, sources: DataFrame) -> DataFrame:
 def _page(meta: dict, text: str, reader: Reader) -> Page:
     known = {t: (max(n, 1), max(pages, 1), outside, titles) for f in meta["facts"] for t, n, pages, outside, titles in zip(*[iter(f)] * 5)}
     pages = known.pop(_ALL_PAGES, (1, 1, 0, 0))[0]
-    return arrange(text, meta["title"], known, pages, residue_lines(text), reader)
+    return arrange(text, meta["title"], known, pages, reader)
 
 
 # --- the fit ---------------------------------------------------------------------------------------------------------

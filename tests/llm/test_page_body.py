@@ -118,9 +118,9 @@ def test_damaged_characters_keep_the_template():
 
 
 def test_residue_is_no_furniture():
-    text = "Sidan kunde inte hittas\n\nMeny\nNämnden beslutade om detta."
-    assert page_body.residue_lines(text) == {1}
-    assert page_body.residue_lines("") == set()
+    reader = line_model.Reader()
+    assert reader.line("Sidan kunde inte hittas").residue and not reader.line("Nämnden beslutade om detta.").residue
+    assert not reader.line("Politik > Bygga > Sidan kunde inte hittas").residue
 
 
 def test_lines_of_any_length_are_judged_whole():
