@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import urljoin
 
 from evispark.functions.text import clean
 
@@ -106,37 +105,25 @@ def links(root: Node, base: str) -> list[tuple[str, str]]:
     return out
 
 
-def pdf_links(root: Node, base: str, first: re.Pattern) -> list[str]:
-    """Links to PDF files, those that ``first`` finds in text or address before the others, without repeats."""
-    found = [(0 if first.search(f"{text} {url}") else 1, k, url) for k, (url, text) in enumerate(links(root, base)) if ".pdf" in url.lower() or "/download/" in url.lower()]
-    return list(dict.fromkeys(url for *_, url in sorted(found)))
+def label_values(root: Node) -> dict[str, str]:
+    """What a page says beside its labels, by label in small letters without colon; the first value of a label counts.
 
-
-def labelled(root: Node, *labels: str) -> str:
-    """The value beside a label: the text of the element after the one that holds only the label, or what trails it."""
-    wanted = re.compile(rf"\s*(?:{'|'.join(map(re.escape, labels))})\s*:?\s*", re.IGNORECASE)
-    for n in root.walk():
-        if n.parent is None or not any(isinstance(c, str) and wanted.fullmatch(c) for c in n.children):
-            continue
-        beside = n.parent.children
-        after = beside[beside.index(n) + 1 :]
-        sibling = next((c for c in after if isinstance(c, Node)), None)
-        if sibling is not None and sibling.text():
-            return sibling.text()
-        if after and isinstance(after[0], str) and after[0].strip():
-            return after[0].strip(" :\n\t")
-    return ""
-
-
-def site_paths(root: Node, base: str, host: str, path: str, depth: int) -> list[str]:
-    """Addresses below ``path`` of a host whose name ends with ``host``, with at least ``depth`` slashes, canonical."""
-    out = []
-    for url, _ in links(root, base):
-        parts = urlsplit(url)
-        whole = parts.path if parts.path.endswith("/") else parts.path + "/"
-        if (parts.hostname or "").endswith(host) and whole.startswith(path) and whole.count("/") >= depth:
-            out.append(f"https://www.{host}{whole}")
-    return list(dict.fromkeys(out))
+    A label is an element's own text; its value is the next element beside it, or else the text that follows it directly.
+    """
+    values: dict[str, str] = {}
+    for parent in root.walk():
+        kin = [c for c in parent.children if isinstance(c, Node) or c.strip()]
+        for k, element in enumerate(kin):
+            if isinstance(element, str):
+                continue
+            value = next((c.text() for c in kin[k + 1 :] if isinstance(c, Node)), "")
+            if not value and k + 1 < len(kin) and isinstance(kin[k + 1], str):
+                value = kin[k + 1].strip().strip(":").strip()
+            if value:
+                for own in element.children:
+                    if isinstance(own, str) and own.strip():
+                        values.setdefault(" ".join(own.split()).removesuffix(":").rstrip().lower(), value)
+    return values
 
 
 def titled(slug: str) -> str:

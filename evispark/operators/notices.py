@@ -23,6 +23,7 @@ ALIASES = {
     "cpv": ["cpv", "cpv_code", "cpv_codes", "main_cpv", "classification-cpv"],
     "description": ["description", "short_description"],
 }
+#: The columns of a notice.
 NOTICE_COLUMNS = ["source", "notice_id", "year", "publication_date", "buyer_name", "municipality_name", "title", "document_status", "language_category", "language_evidence", "language_confidence", "source_url", "document_url", "coverage_status"]
 
 
