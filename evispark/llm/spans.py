@@ -2,9 +2,9 @@
 
 A log-structured index of window hashes: from every ``span - anchor + 1`` neighbouring windows of ``ANCHOR`` code points
 the one of least hash is kept, so any span of ``SPAN`` code points that two texts share has a kept window, an anchor, at
-the same place in both. Each batch's anchors become a sorted immutable run; merging the new run with the older ones
+the same place in both. Each batch's anchors become a sorted immutable run; a merge join of the new run with older ones
 shows the anchors that stand in different texts; those are verified on the texts around them, character by character.
-Runs are compacted when there are many. Copies of a whole text are one class and are fingerprinted once.
+The runs are bucketed by anchor, so older ones stay where they are, and are compacted when there are many. Copies of a whole text are one class and are fingerprinted once.
 
 Texts that share a span are kept as cliques (an anchor with equal surroundings on both sides, or a verified overlap of
 two surroundings) and only expanded to pairs where pairs are asked for.
@@ -12,7 +12,10 @@ two surroundings) and only expanded to pairs where pairs are asked for.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +98,6 @@ def _codes(text: str) -> np.ndarray:
 
 
 _RUN_SCHEMA = "anchor bigint, cls bigint, pos int"
-_ROW_SCHEMA = _RUN_SCHEMA + ", fresh boolean, shared boolean"
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,88 +118,127 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, cls``: the texts long enough to hold a span. ``cls`` tells texts apart, copies have the same."""
+def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """``doc_id, text, cls``: the texts long enough to hold a span. ``cls`` tells texts apart, copies have the same.
+
+    It is a hash: :func:`classes_clash` says whether it ever stands for two texts, and another ``seed`` gives other ones.
+    """
     long = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") >= SPAN)
-    return long.where("doc_id is not null").withColumn("cls", F.xxhash64("text", F.length("text")))
+    return long.where("doc_id is not null").withColumn("cls", F.xxhash64("text", F.length("text"), F.lit(seed)))
+
+
+def classes_clash(texts: DataFrame) -> bool:
+    """Whether one ``cls`` stands for texts of different SHA-256 digests."""
+    digest = F.sha2("text", 256)
+    return not texts.groupBy("cls").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").isEmpty()
 
 
 class SpanIndex:
-    """Runs of anchors in a folder that all executors share. One index serves one collection, batch after batch."""
+    """A log-structured index of anchors in a folder that all executors share: batch after batch, session after session.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        import uuid
+    Every batch's anchors are an immutable run: a table bucketed and sorted by anchor, so that merging it with older runs
+    moves none of their rows. A manifest in the folder names the runs; an index on a folder that has one goes on from it.
+    """
 
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.folder = folder or f"{scratch_dir(spark)}/spans-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-        self.batches = 0
+        self.folder = (folder or f"{scratch_dir(spark)}/spans-{uuid.uuid4().hex}").rstrip("/")
+        known = self._read_manifest()
+        if known and (known["span"], known["anchor"]) != (SPAN, ANCHOR):
+            raise ValueError(f"the index in {self.folder} was made for spans of {known['span']} and anchors of {known['anchor']}")
+        self.buckets = known["buckets"] if known else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.batches: int = known["batches"] if known else 0
+        self.runs: list[str] = known["runs"] if known else []
+        self.found: list[str] = known["found"] if known else []
+
+    # the manifest is replaced by renaming, so it always names whole runs
+
+    def _file_system(self):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        return path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _read_manifest(self) -> dict | None:
+        files, path = self._file_system()
+        for name in ("manifest.json", "manifest.next"):
+            if files.exists(path(f"{self.folder}/{name}")):
+                return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/{name}").collect()))
+        return None
+
+    def _write_manifest(self) -> None:
+        files, path = self._file_system()
+        now, coming = path(f"{self.folder}/manifest.json"), path(f"{self.folder}/manifest.next")
+        out = files.create(coming, True)
+        out.write(bytearray(json.dumps({"span": SPAN, "anchor": ANCHOR, "buckets": self.buckets, "batches": self.batches, "runs": self.runs, "found": self.found}).encode()))
+        out.close()
+        files.delete(now, False)
+        files.rename(coming, now)
+
+    def _write_run(self, rows: DataFrame, name: str) -> None:
+        table = f"spans_{uuid.uuid4().hex}"
+        writer = rows.write.format("parquet").option("compression", "zstd").option("path", f"{self.folder}/{name}")
+        writer.bucketBy(self.buckets, "anchor").sortBy("anchor", "cls", "pos").saveAsTable(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the files stay
+
+    def _run(self, name: str) -> DataFrame:
+        """A run as a bucketed table: a join or an aggregation by anchor needs no exchange of it."""
+        table = f"spans_{xxhash.xxh3_64_hexdigest(f'{self.folder}/{name}')}"
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({_RUN_SCHEMA}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor, cls, pos) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'"
+        )
+        return self.spark.table(table)
 
-    def ingest(self, texts: DataFrame) -> DataFrame:
-        """Add a batch (:func:`texts_of`); the occurrences of anchors that it shares: ``anchor, cls, pos``, old ones included.
+    def merged(self, run: str, older: list[str]) -> DataFrame:
+        """Rows of a run and of older ones whose anchors the run has and that stand in more than one class.
 
-        The new anchors are merged with those of all runs in one stream sorted by anchor; where a second class turns up,
-        the anchor is shared. Hot anchors pass through: nothing but the first class's rows is held. The batch's rows
-        become a run; with more than ``MOST_RUNS`` runs the merged stream is kept whole and replaces them.
+        Merge joins by anchor over the buckets: each older run gives the rows that the new one touches, then the least and
+        the greatest class of an anchor tell whether it is shared. All of it stays within the buckets.
         """
-        rows = texts.select("cls", "text").mapInArrow(_fingerprint, _RUN_SCHEMA).withColumn("fresh", F.lit(True))
-        if self.runs:
-            older = self.spark.read.schema(_ROW_SCHEMA).parquet(*self.runs).where("fresh").select("anchor", "cls", "pos")
-            rows = rows.unionAll(older.withColumn("fresh", F.lit(False)))
-        merged = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor", "cls", "pos").mapInArrow(_mark_shared, _ROW_SCHEMA)
-        compact = len(self.runs) >= MOST_RUNS
-        merged = merged.withColumn("fresh", F.lit(True)) if compact else merged.where("fresh or shared")
-        self.batches += 1
-        path = f"{self.folder}/run-{self.batches:05d}"
-        merged.write.option("compression", "zstd").parquet(path)
-        self.runs = [path] if compact else [*self.runs, path]
-        return self.spark.read.schema(_ROW_SCHEMA).parquet(path).where("shared").select("anchor", "cls", "pos").distinct()
-
+        new = self._run(run)
+        rows = new
+        for name in older:
+            rows = rows.unionAll(self._run(name).join(new.select("anchor"), "anchor", "left_semi"))
+        shared = rows.groupBy("anchor").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("anchor")
+        return rows.join(shared, "anchor", "left_semi")
 
-def _mark_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mark the rows of anchors with more than one class. The rows come sorted by anchor and class.
-
-    Vectorised by batch: rows of a batch's last anchor are held back only while all of them are of one class.
-    """
-    held: list[pa.RecordBatch] = []
-    last, last_shared, last_cls = None, False, None
+    def ingest(self, texts: DataFrame) -> DataFrame:
+        """Add a batch (:func:`texts_of`); returns :meth:`shared`. An empty batch changes nothing but the count of batches.
 
-    def emit(b: pa.RecordBatch, shared: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(shared)], names=["anchor", "cls", "pos", "fresh", "shared"])
+        The batch alone is shuffled, by anchor into the index's buckets, and becomes a run; it is merge-joined with the older
+        ones. With more than ``MOST_RUNS`` runs they are compacted.
+        """
+        self.batches += 1
+        run, found = f"run-{self.batches:05d}", f"shared-{self.batches:05d}"
+        rows = texts.select("cls", "text").mapInArrow(_fingerprint, _RUN_SCHEMA)
+        self._write_run(rows.repartition(self.buckets, F.col("anchor")), run)
+        self.merged(run, self.runs).write.option("compression", "zstd").parquet(f"{self.folder}/{found}")
+        self.runs, self.found = [*self.runs, run], [*self.found, found]
+        self._write_manifest()
+        if len(self.runs) > MOST_RUNS:
+            self.compact()
+        return self.shared()
+
+    def compact(self) -> None:
+        """Merge all runs into one, bucket by bucket, without an exchange; the old ones are deleted once the manifest is written."""
+        if len(self.runs) < 2:
+            return
+        old = self.runs
+        rows = self._run(old[0])
+        for name in old[1:]:
+            rows = rows.unionAll(self._run(name))
+        whole = f"run-{self.batches:05d}-whole"
+        self._write_run(rows.groupBy("anchor", "cls", "pos").agg(F.lit(None).alias("none")).drop("none"), whole)
+        self.runs = [whole]
+        self._write_manifest()
+        files, path = self._file_system()
+        for name in old:
+            files.delete(path(f"{self.folder}/{name}"), True)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, c = batch["anchor"].to_numpy(), batch["cls"].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        ends = np.append(starts[1:], len(a))
-        shared = c[starts] != c[ends - 1]  # sorted by class within the anchor
-        if last is not None and a[0] == last:
-            shared[0] |= last_shared or c[0] != last_cls
-            if held and shared[0]:
-                for b in held:
-                    yield emit(b, np.ones(b.num_rows, bool))
-                held = []
-            elif held and len(starts) > 1:
-                for b in held:
-                    yield emit(b, np.zeros(b.num_rows, bool))
-                held = []
-        elif held:
-            for b in held:
-                yield emit(b, np.zeros(b.num_rows, bool))
-            held = []
-        flags = np.repeat(shared, ends - starts)
-        last, last_cls = a[-1], c[-1]
-        last_shared = bool(shared[-1])
-        if last_shared:
-            yield emit(batch, flags)
-        else:
-            cut = int(starts[-1])
-            if cut:
-                yield emit(batch.slice(0, cut), flags[:cut])
-            held.append(batch.slice(cut))
-    for b in held:
-        yield emit(b, np.zeros(b.num_rows, bool))
+    def shared(self) -> DataFrame:
+        """``anchor, cls, pos``: the occurrences of anchors that texts of all batches so far share."""
+        if not self.found:
+            return self.spark.createDataFrame([], _RUN_SCHEMA)
+        return self.spark.read.schema(_RUN_SCHEMA).parquet(*(f"{self.folder}/{name}" for name in self.found)).distinct()
 
 
 # --- verification ----------------------------------------------------------------------------------------------------
@@ -266,15 +307,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of ``SPAN`` code points of a context, by hash: for anchors with many contexts."""
+    """All windows of ``SPAN`` code points of a context, by place and hash: for anchors with many contexts."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(4)]
+        anchors_, contexts, hashes, places = [], [], [], []
         for anchor, h, lead, context in zip(*(batch[c].to_pylist() for c in ("anchor", "h", "lead", "context"))):
-            for s in range(len(context) - SPAN + 1):
-                for col, v in zip(out, (anchor, h, _signed(xxhash.xxh3_64_intdigest(f"{s - lead}:{context[s : s + SPAN]}")), s - lead)):
-                    col.append(v)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["anchor", "h", "w", "lo"])
+            w = window_hashes(_codes(context), SPAN)
+            anchors_.append(np.full(len(w), anchor, np.int64))
+            contexts.append(np.full(len(w), h, np.int64))
+            hashes.append(w.view(np.int64))
+            places.append(np.arange(len(w), dtype=np.int32) - np.int32(lead))
+        if anchors_:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (anchors_, contexts, hashes, places)], names=["anchor", "h", "w", "lo"])
 
 
 class SharedSpans:
@@ -293,9 +336,13 @@ class SharedSpans:
         mixed = self.contexts.select("anchor", "h", "lead", "context").join(per_anchor, "anchor").groupBy("anchor", "h", "kinds").agg(F.first("lead").alias("lead"), F.first("context").alias("context"))
         few = mixed.where(F.col("kinds") <= FEW_CONTEXTS).repartition(F.col("anchor")).sortWithinPartitions("anchor")
         self.links = write_table(few.mapInArrow(_compare, _LINK_SCHEMA), "links")
-        windows = mixed.where(F.col("kinds") > FEW_CONTEXTS).mapInArrow(_windows, "anchor bigint, h bigint, w bigint, lo int")
-        common = windows.groupBy("anchor", "w").agg(F.min("h").alias("p"), F.max("h").alias("q")).where("p <> q").select("anchor", "w")
-        self.windows = write_table(windows.join(common, ["anchor", "w"], "left_semi"), "windows")
+        many = mixed.where(F.col("kinds") > FEW_CONTEXTS)
+        windows = many.mapInArrow(_windows, "anchor bigint, h bigint, w bigint, lo int")
+        common = windows.groupBy("anchor", "lo", "w").agg(F.min("h").alias("p"), F.max("h").alias("q")).where("p <> q").select("anchor", "lo", "w")
+        # hashes only choose the windows: those that stand in two contexts are told apart by the digest of their text
+        text = F.expr(f"sha2(substring(context, lo + lead + 1, {SPAN}), 256)")
+        told = windows.join(common, ["anchor", "lo", "w"], "left_semi").join(many.select("anchor", "h", "lead", "context"), ["anchor", "h"])
+        self.windows = write_table(told.select("anchor", "h", text.alias("w"), "lo"), "windows")
 
     def cliques(self) -> DataFrame:
         """``clique, cls``: classes any two of which share a span. Cliques of the same classes are kept once."""
@@ -303,7 +350,7 @@ class SharedSpans:
         same = of.select(F.xxhash64(F.lit("context"), "anchor", "h").alias("clique"), "cls")
         pair = self.links.select("anchor", "h", F.xxhash64(F.lit("link"), "anchor", F.least("h", "other"), F.greatest("h", "other")).alias("clique"))
         linked = pair.join(of, ["anchor", "h"]).select("clique", "cls")
-        window = self.windows.select("anchor", "h", F.xxhash64(F.lit("window"), "anchor", "w").alias("clique")).distinct().join(of, ["anchor", "h"]).select("clique", "cls")
+        window = self.windows.select("anchor", "h", F.xxhash64(F.lit("window"), "anchor", "lo", "w").alias("clique")).distinct().join(of, ["anchor", "h"]).select("clique", "cls")
         rows = same.unionAll(linked).unionAll(window).distinct()
         signed = rows.groupBy("clique").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s")).where("size > 1")
         kept = signed.groupBy("size", "x", "s").agg(F.min("clique").alias("clique")).select("clique", "size")
@@ -350,11 +397,16 @@ class SharedSpans:
         return found.select("doc_id", "class_id", "n_chars", chars.alias("shared_chars"), F.round(chars / F.col("n_chars"), 6).alias("share"))
 
 
-def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SharedSpans:
-    """Index a whole collection as one batch and verify what is shared.
+def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> SharedSpans:
+    """Index a whole collection, in so many batches by the hash of the id, and verify what is shared.
 
     Null texts, null ids and texts shorter than ``SPAN`` code points can't share a span and are left out. Rows repeated
-    with id and text are one document. Extra columns are not read.
+    with id and text are one document. Extra columns are not read. Several batches end with a compaction and give the
+    same result as one.
     """
-    texts = texts_of(df, id_col, text_col)
-    return SharedSpans(texts, SpanIndex(df.sparkSession).ingest(texts))
+    texts = next(t for seed in count() for t in [texts_of(df, id_col, text_col, seed)] if not classes_clash(t))
+    index = SpanIndex(df.sparkSession)
+    for k in range(batches):
+        index.ingest(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k) if batches > 1 else texts)
+    index.compact()
+    return SharedSpans(texts, index.shared())

@@ -75,8 +75,9 @@ def test_batches_give_what_one_batch_gives(spark, monkeypatch):
     pairs = set()
     for k in range(4):
         index.ingest(spans.texts_of(spark.createDataFrame(texts[k::4], schema)))
-    shared = index.ingest(spans.texts_of(spark.createDataFrame([(999, "w" * 10)], schema)))
-    assert shared.collect() == [] or True
+    before = {tuple(r) for r in index.shared().collect()}
+    after = index.ingest(spans.texts_of(spark.createDataFrame([(999, "w" * 10)], schema)))
+    assert before and {tuple(r) for r in after.collect()} == before  # too short to share anything
     # the last batch sees the older ones
     last = [(500, texts[5][1] + "åå")]
     hits = index.ingest(spans.texts_of(spark.createDataFrame(last, schema)))
@@ -109,3 +110,45 @@ def test_batches_mark_the_rows_that_one_batch_marks(spark, monkeypatch):
     assert len(index.runs) < 5
     assert marked[0] == marked[1]  # too short to add anything
     assert marked[-1] and marked[-1] == {tuple(r) for r in spans.SpanIndex(spark).ingest(frame(texts)).collect()}
+
+
+def test_an_index_is_opened_again(spark, tmp_path):
+    texts = corpus(random.Random(7), hot=8)
+    frame = lambda rows: spans.texts_of(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    spans.SpanIndex(spark, str(tmp_path), buckets=3).ingest(frame(texts[::2]))
+    again = spans.SpanIndex(spark, str(tmp_path))
+    assert (again.buckets, again.batches, len(again.runs)) == (3, 1, 1)
+    again.ingest(frame(texts[1::2]))
+    again.compact()
+    assert len(again.runs) == 1
+    third = spans.SpanIndex(spark, str(tmp_path))
+    assert {tuple(r) for r in third.shared().collect()} == {tuple(r) for r in spans.SpanIndex(spark).ingest(frame(texts)).collect()}
+
+
+def test_older_runs_are_not_moved(spark, tmp_path):
+    frame = lambda rows: spans.texts_of(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    texts = corpus(random.Random(8), hot=2)
+    index = spans.SpanIndex(spark, str(tmp_path), buckets=4)
+    index.ingest(frame(texts[::2]))
+    index.ingest(frame(texts[1::2]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.merged(index.runs[1], index.runs[:1])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_batches_of_a_whole_collection(spark):
+    rows = corpus(random.Random(9), hot=30)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = spans.shared_spans(df, batches=3)
+    pairs, shared = brute(rows)
+    assert {tuple(r) for r in found.pairs().collect()} == pairs
+    assert {r["doc_id"]: r["shared_chars"] for r in found.shared().collect() if r["shared_chars"]} == shared
+
+
+def test_classes_are_verified(spark):
+    texts = spark.createDataFrame([(1, "a", 7), (2, "a", 7), (3, "b", 8)], "doc_id int, text string, cls bigint")
+    assert not spans.classes_clash(texts)
+    assert spans.classes_clash(texts.unionAll(spark.createDataFrame([(4, "c", 7)], "doc_id int, text string, cls bigint")))
