@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -194,12 +195,18 @@ class SpanIndex:
         Merge joins by anchor over the buckets: each older run gives the rows that the new one touches, then the least and
         the greatest class of an anchor tell whether it is shared. All of it stays within the buckets.
         """
+        def classes(rows: DataFrame, k: int) -> DataFrame:
+            return rows.groupBy("anchor").agg(F.min("cls").alias(f"lo{k}"), F.max("cls").alias(f"hi{k}"))
+
         new = self._run(run)
-        rows = new
-        for name in older:
-            rows = rows.unionAll(self._run(name).join(new.select("anchor"), "anchor", "left_semi"))
-        shared = rows.groupBy("anchor").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("anchor")
-        return rows.join(shared, "anchor", "left_semi")
+        parts = [new, *(self._run(name).join(new.select("anchor"), "anchor", "left_semi") for name in older)]
+        known = classes(new, 0)
+        for k, rows in enumerate(parts[1:], 1):
+            known = known.join(classes(rows, k), "anchor", "left")
+        lows, highs = ([F.col(f"{name}{k}") for k in range(len(parts))] for name in ("lo", "hi"))
+        shared = known.where((F.least(*lows) if older else lows[0]) != (F.greatest(*highs) if older else highs[0])).select("anchor")
+        out = [rows.join(shared, "anchor", "left_semi") for rows in parts]
+        return reduce(DataFrame.unionAll, out)
 
     def ingest(self, texts: DataFrame) -> DataFrame:
         """Add a batch (:func:`texts_of`); returns :meth:`shared`. An empty batch changes nothing but the count of batches.
