@@ -111,6 +111,11 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_items(_table(spark, sf_dir, "chunks"))
 
 
+def p6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as a few large files, split as files by byte ranges."""
+    return split.split_table_as_files(_table(spark, sf_dir, "documents"))
+
+
 # 7: containers of fixed capacity
 
 

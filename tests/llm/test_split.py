@@ -8,7 +8,7 @@ from evispark.llm import split
 
 
 def pieces(text, limit, overlap):
-    cuts, ranks = split.find_boundaries(text, 0, len(text))
+    cuts, ranks = split.find_boundaries(text)
     return list(split.choose_cuts(zip(cuts, ranks), len(text), limit, overlap))
 
 
@@ -30,18 +30,21 @@ def test_best_boundary_wins():
     assert pieces("x" * 300, 100, 10)[0] == (0, 100)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab. \n\f\t", max_size=120), st.integers(1, 30))
-def test_ranges_with_halos_find_the_same_boundaries(text, size):
-    whole = list(zip(*split.find_boundaries(text, 0, len(text))))
-    got = []
-    for k in range(0, len(text), size):
-        left = min(k, split.HALO)
-        part = text[k - left : k + size + split.HALO]
-        n = min(size, len(text) - k)
-        got += [(k + c - left, r) for c, r in zip(*split.find_boundaries(part, left, left + n))]
-    # runs of blanks longer than the halo may rank otherwise, cuts stay the same
-    assert [c for c, _ in got] == [c for c, _ in whole]
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab. \n\f\t)!'", max_size=120), st.integers(1, 30))
+def test_ranges_of_any_size_find_the_same_boundaries(text, size):
+    ranges = [split.range_boundaries(text[k : k + size]) for k in range(0, len(text), size)]
+    got, carry = [], split.Carry()
+    for k, (cuts, ranks, edges) in enumerate(ranges):
+        goes_on = k + 1 < len(ranges) and ranges[k + 1][2].begins_line
+        got += [(k * size + c, r) for c, r in zip(*split.in_context(cuts, ranks, edges, carry, goes_on))]
+        carry = split.carry_on(carry, edges)
+    assert got == list(zip(*split.find_boundaries(text)))
+
+
+def test_a_long_blank_line_is_one_boundary():
+    text = "Ett.\n" + " " * 60 + "\nTvå"
+    assert dict(zip(*split.find_boundaries(text)))[66] == 4
 
 
 def test_items(make_chunks):
@@ -66,14 +69,37 @@ def test_bad_overlap(make_chunks):
         split.split_items(make_chunks([]), limit=100, overlap=50)
 
 
-def test_files(spark, tmp_path):
-    rng = random.Random(7)
-    text = "".join(rng.choice(["ord ", "Mening. ", "Rad\n", "åäö", "😀", "Stycke.\n\n"]) for _ in range(3000))
+def _files(spark, tmp_path, text, range_bytes, limit=150, overlap=20):
     (tmp_path / "a.txt").write_bytes(text.encode())
     (tmp_path / "b.txt").write_bytes(b"kort")
     (tmp_path / "c.txt").write_bytes(b"")
-    got = split.split_files(spark, [str(tmp_path / f"{x}.txt") for x in "abc"], 600, 80, range_bytes=777).collect()
+    got = split.split_files(spark, [str(tmp_path / f"{x}.txt") for x in "abc"], limit, overlap, range_bytes=range_bytes).collect()
+    assert [(r["piece_no"], r["start"], r["end"], r["text"]) for r in got if r["path"].endswith("b.txt")] == [(0, 0, 4, "kort")]
     a = sorted((r["piece_no"], r["start"], r["end"], r["text"]) for r in got if r["path"].endswith("a.txt"))
-    assert [(s, e) for _, s, e, _ in a] == pieces(text, 600, 80)
+    assert [n for n, *_ in a] == list(range(len(a)))
     assert all(t == text[s:e] for _, s, e, t in a)
-    assert [(r["start"], r["end"], r["text"]) for r in got if r["path"].endswith("b.txt")] == [(0, 4, "kort")]
+    return [(s, e) for _, s, e, _ in a]
+
+
+@pytest.mark.parametrize("group", [1, 2, 256])
+def test_files(spark, tmp_path, monkeypatch, group):
+    monkeypatch.setattr(split, "GROUP", group)
+    rng = random.Random(7)
+    text = "".join(rng.choice(["ord ", "Mening. ", "Rad\n", "åäö", "😀", "Stycke.\n\n", "\n" + " " * 20 + "\n"]) for _ in range(1200))
+    for range_bytes in (777, 4000, 1 << 20):
+        assert _files(spark, tmp_path, text, range_bytes) == pieces(text, 150, 20)
+
+
+def test_files_without_boundaries(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(split, "GROUP", 2)
+    for text in ("x" * 5000, "å" * 3001 + " " * 40):
+        assert _files(spark, tmp_path, text, 700) == pieces(text, 150, 20)
+
+
+def test_a_table_as_files(spark):
+    rows = [(k, f"Text {k}. " * 50, "x") for k in range(40)] + [(99, None, "x"), (98, "", "x")]
+    got = split.split_table_as_files(spark.createDataFrame(rows, "doc_id bigint, text string, file string"), limit=300, overlap=40, range_bytes=4000, files=2).collect()
+    for f in (0, 1):
+        mine = sorted((r["piece_no"], r["start"], r["end"], r["text"]) for r in got if r["file"] == f)
+        assert mine[0][1] == 0 and all(len(t) == e - s <= 300 for _, s, e, t in mine)
+        assert all(b[1] == a[2] - 40 and a[3][-40:] == b[3][:40] for a, b in zip(mine, mine[1:]))
