@@ -33,12 +33,12 @@ def p1_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without any line of :func:`p1_found`."""
-    return site_lines.without_repeated_lines(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "sources"), _repeated_lines(spark, sf_dir), least_clusters=1, least_days=0)
+    return site_lines.without_repeated_lines(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "sources"), least_clusters=1, least_days=0)
 
 
 def p1_clean_by_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the lines of different texts and days only: copies keep theirs."""
-    return site_lines.without_repeated_lines(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "sources"), _repeated_lines(spark, sf_dir))
+    return site_lines.without_repeated_lines(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "sources"))
 
 
 # 2: template residue and error pages
