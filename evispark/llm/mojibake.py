@@ -54,7 +54,7 @@ def _multibyte(codec: str):
     unit = f"{cls(0xC2, 0xDF)}{t}|{cls(0xE0, 0xE0)}{cls(0xA0, 0xBF)}{t}|{cls(0xE1, 0xEC)}{t}{{2}}|{cls(0xED, 0xED)}{cls(0x80, 0x9F)}{t}|{cls(0xEE, 0xEF)}{t}{{2}}|{cls(0xF0, 0xF0)}{cls(0x90, 0xBF)}{t}{{2}}|{cls(0xF1, 0xF3)}{t}{{3}}|{cls(0xF4, 0xF4)}{cls(0x80, 0x8F)}{t}{{2}}"
     leads = frozenset(c for b in range(0xC2, 0xF5) for c in chars.get(b, []))
     trails = frozenset(c for b in range(0x80, 0xC0) for c in chars.get(b, []))
-    return re.compile(f"(?:{unit})+"), table, leads, trails
+    return re.compile(f"(?:{unit})+"), table, leads, trails, {c: chr(b) for c, b in table.items()}
 
 
 def _plausible(decoded: str) -> bool:
@@ -62,6 +62,12 @@ def _plausible(decoded: str) -> bool:
 
     Two characters that happen to form one Greek or Cyrillic letter prove nothing; a word of them does.
     """
+    if any("\x80" <= c < "\xa0" for c in decoded):
+        # controls may stand between two mistakes: they must go with the next steps
+        inner, spans, _ = _multibyte_spans(decoded)
+        while spans:
+            inner, spans, _ = _multibyte_spans(inner)
+        return not any("\x80" <= c < "\xa0" for c in inner)
     other = 0
     for c in decoded:
         o = ord(c)
@@ -92,14 +98,15 @@ def _pair(actual: str, read: str) -> dict[str, str]:
 
 _C1 = re.compile("[\x80-\x9f�]")
 _LONE = re.compile(r"(?<!\S)Ã(?=\s)|Ã(?=\s[a-zåäö])")
-_TAIL = re.compile("^[\xa4\xa5\xb6–„…](?=[a-zåäö])")
+#: The rest of a letter at which a window was cut. Dashes, quotes and dots, which other letters leave, begin right text too.
+_TAIL = re.compile("^[\xa4\xa5\xb6](?=[a-zåäö])")
 
 
 def _multibyte_spans(text: str) -> tuple[str, list[tuple[int, int]], str | None]:
     """``text`` with its multibyte spans decoded, their places in ``text``, and the encoding."""
     best, present = None, set(text)
     for codec in MISTAKEN_FOR:
-        pattern, table, leads, trails = _multibyte(codec)
+        pattern, table, leads, trails, _ = _multibyte(codec)
         if present.isdisjoint(leads) or present.isdisjoint(trails):
             continue
         out, spans, at = [], [], 0
@@ -176,16 +183,21 @@ def repair(text: str | None) -> tuple[str | None, list[tuple[int, int]], str | N
     """
     if not text:
         return text, [], None
-    places: list[tuple[int, int]] = []
     how: list[str] = []
     now = text
-    for _ in range(3):
+    starts, ends = None, None  # where each character of ``now`` stands in ``text``; none: at its own place
+    places: list[tuple[int, int]] = []
+
+    def given(a: int, b: int) -> tuple[int, int]:
+        return (a, b) if starts is None else (starts[a], ends[b - 1])
+
+    while True:  # every step makes the text shorter
         fixed, spans, codec = _multibyte_spans(now)
         if not spans:
             break
-        if not places:
-            places = spans
+        places += [given(a, b) for a, b in spans]
         how.append(f"utf-8<{codec}")
+        starts, ends = _follow(len(now), spans, [len(now[a:b].translate(_multibyte(codec)[4]).encode("latin-1").decode("utf-8")) for a, b in spans], starts, ends)
         now = fixed
     best, present = None, set(now)
     for actual, read in SINGLE_BYTE:
@@ -197,17 +209,35 @@ def repair(text: str | None) -> tuple[str | None, list[tuple[int, int]], str | N
             best = (weight, actual, read, strong)
     if best:
         _, actual, read, strong = best
-        fixed = _restore(now, _pair(actual, read), strong)
-        if not how:
-            places = [(k, k + 1) for k in strong]
+        places += [given(k, k + 1) for k in strong]
         how.append(f"{actual}<{read}")
-        now = fixed
-    for m in (*_C1.finditer(now), *_LONE.finditer(now), *_TAIL.finditer(now)):
+        now = _restore(now, _pair(actual, read), strong)
+    lost = [m.span() for p in (_C1, _LONE, _TAIL) for m in p.finditer(now)]
+    if lost:
+        places += [given(a, b) for a, b in lost]
         how.append("lost")
-        if not places:
-            places = [m.span()]
-        break
-    return (now, places, "+".join(dict.fromkeys(how))) if how else (text, [], None)
+    return (now, _merged(places), "+".join(how)) if how else (text, [], None)
+
+
+def _follow(n: int, spans: list[tuple[int, int]], sizes: list[int], starts: list[int] | None, ends: list[int] | None) -> tuple[list[int], list[int]]:
+    """The places in the given text after spans have been replaced by so many characters each."""
+    starts, ends = starts or list(range(n)), ends or list(range(1, n + 1))
+    new_starts, new_ends, at = [], [], 0
+    for (a, b), size in zip(spans, sizes):
+        new_starts += starts[at:a] + [starts[a]] * size
+        new_ends += ends[at:a] + [ends[b - 1]] * size
+        at = b
+    return new_starts + starts[at:], new_ends + ends[at:]
+
+
+def _merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(places):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _restore(text: str, pair: dict[str, str], strong: list[int]) -> str:
@@ -239,7 +269,19 @@ def _restore(text: str, pair: dict[str, str], strong: list[int]) -> str:
 
 
 def damaged(text: str | None) -> bool:
-    return repair(text)[2] is not None
+    """Whether :func:`repair` finds anything; the first find is enough."""
+    if not text:
+        return False
+    if _C1.search(text) or _multibyte_spans(text)[1] or _LONE.search(text) or _TAIL.search(text):
+        return True
+    present = set(text)
+    return any(not present.isdisjoint(_pair_letters(*pair)[0]) and _strong_places(text, *pair) for pair in SINGLE_BYTE)
+
+
+def _find_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = pa.array([damaged(t) for t in batch["text"].to_pylist()], pa.bool_())
+        yield batch.select(["record_kind", "record_id"]).filter(keep)
 
 
 def _repair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +296,19 @@ def _repair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 5 + [span])], names=["record_kind", "record_id", "text", "restored", "found", "spans"])
 
 
+def _rare(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
+    return df.select(F.lit(kind).alias("record_kind"), F.col(id_col).cast("string").alias("record_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(f"[^{PLAIN}]"))
+
+
+def find_damaged(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
+    """Damaged rows, as of :func:`repair_text`: ``record_kind, record_id``; nothing is restored and no text comes back."""
+    return _rare(df, id_col, text_col, kind).mapInArrow(_find_batches, "record_kind string, record_id string")
+
+
 def repair_text(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
     """Damaged rows: ``record_kind, record_id, text, restored, found, spans``.
 
     Texts of plain characters only are passed over in the JVM. Null and empty texts are never damaged. Repeated rows give
     repeated results; extra columns are not read. ``restored`` still holds U+FFFD where a character was lost.
     """
-    rare = df.select(F.lit(kind).alias("record_kind"), F.col(id_col).cast("string").alias("record_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(f"[^{PLAIN}]"))
-    return rare.mapInArrow(_repair_batches, "record_kind string, record_id string, text string, restored string, found string, spans array<struct<start:int,end:int>>")
+    return _rare(df, id_col, text_col, kind).mapInArrow(_repair_batches, "record_kind string, record_id string, text string, restored string, found string, spans array<struct<start:int,end:int>>")

@@ -95,9 +95,9 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = mojibake.repair_text(_table(spark, sf_dir, "chunks"), "id", "text", "chunk")
-    titles = mojibake.repair_text(_table(spark, sf_dir, "audit"), "event_no", "title", "audit")
-    return chunks.unionByName(titles).select("record_kind", "record_id").distinct()
+    chunks = mojibake.find_damaged(_table(spark, sf_dir, "chunks"), "id", "text", "chunk")
+    titles = mojibake.find_damaged(_table(spark, sf_dir, "audit"), "event_no", "title", "audit")
+    return chunks.unionByName(titles).distinct()
 
 
 # 6: oversized items
