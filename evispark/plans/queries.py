@@ -449,13 +449,38 @@ def notice_rows(spark, sf_dir):
     return _notices(spark, sf_dir)
 
 
-@query()
+def _bounded(pattern: str) -> str:
+    return "(^|[^\\p{L}\\p{N}_])(?:" + pattern.replace("\\b", "").replace("\\w*", "[\\p{L}\\p{N}_]*") + ")($|[^\\p{L}\\p{N}_])"
+
+
+#: In the SQL a bound within a pattern is a character that isn't of a word: between two words lie 1 to 60 or 40 characters.
+_BETWEEN = "(?:[^\\p{L}\\p{N}_]|[^\\p{L}\\p{N}_].{0,%d}[^\\p{L}\\p{N}_])"
+_SQL_EXPLICIT = [_bounded(p.replace(r"\b.{0,60}?\b", _BETWEEN % 58).replace(r"\b.{0,40}?\b", _BETWEEN % 38)) for p in lexicon.EXPLICIT]
+_SQL_RELATED = [_bounded(p) for p in lexicon.RELATED]
+_SPACED = "regexp_replace(text, '[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')"
+
+
+def _any(column: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, '{p}')" for p in patterns) + ")"
+
+
+#: The screen sentence by sentence: a match counts as explicit if its sentence isn't about users or is about staff.
+_SCREENED = f"""WITH t AS (SELECT *, trim(lower({_SPACED})) AS t FROM documents),
+q AS (SELECT doc_id, bool_or({_any("x", _SQL_EXPLICIT)} AND (NOT regexp_matches(x, '{_bounded(lexicon.USER_CONTEXT)}') OR regexp_matches(x, '{_bounded(lexicon.STAFF_CONTEXT)}'))) AS strong
+FROM (SELECT doc_id, unnest(string_split_regex(t, '[.;] ')) AS x FROM t) GROUP BY doc_id),
+n AS (SELECT CAST(nullif(regexp_extract(strftime(published_at, '%Y-%m-%d'), '(20[0-9]{{2}})', 1), '') AS INT) AS year, coalesce(source, '') AS source, coalesce(nullif(lang, ''), 'unknown') AS coverage,
+coalesce(t, '') <> '' AS has_text, coalesce(strong, false) AS strong, {_any("t", _SQL_EXPLICIT + _SQL_RELATED)} AS any_match FROM t LEFT JOIN q USING (doc_id))
+"""
+_COUNTS = "count(*) AS n_notices, count_if(has_text) AS n_documents, count_if(has_text AND strong) AS n_explicit_swedish, count_if(has_text AND NOT strong AND any_match) AS n_language_related, array_to_string(list_sort(list_distinct(list(coverage))), '|') AS coverage_statuses FROM n"
+
+
+@query(f"{_SCREENED}SELECT year, {_COUNTS} GROUP BY 1")
 def notice_year_summary(spark, sf_dir):
     out = notices.aggregate_by_year(_notices(spark, sf_dir))
     return out.withColumn("coverage_statuses", F.array_join("coverage_statuses", "|")).orderBy(F.asc_nulls_last("year"))
 
 
-@query()
+@query(f"{_SCREENED}SELECT source, year, {_COUNTS} GROUP BY 1, 2")
 def notice_source_year_summary(spark, sf_dir):
     n = _notices(spark, sf_dir)
     return notices.aggregate_by_year(n.withColumn("source", F.col("buyer_name")), by_source=True).withColumn("coverage_statuses", F.array_join("coverage_statuses", "|"))
@@ -467,21 +492,8 @@ def notice_year_counts(spark, sf_dir):
     return notice_year_summary(spark, sf_dir).select("year", "n_notices", "n_documents", "coverage_statuses")
 
 
-def _bounded(pattern: str) -> str:
-    return "(^|[^\\p{L}\\p{N}_])(?:" + pattern.replace("\\b", "") + ")($|[^\\p{L}\\p{N}_])"
-
-
-_COUNTED = lexicon.EXPLICIT[:11] + lexicon.RELATED
-
-
-@query("WITH d AS (SELECT lower(regexp_replace(text, '[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS t FROM documents) " + " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS pattern_no, count_if(regexp_matches(t, '{_bounded(p)}')) AS n_rows FROM d" for k, p in enumerate(_COUNTED, 1)))
+@query(f"WITH d AS (SELECT lower({_SPACED}) AS t FROM documents) " + " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS pattern_no, count_if(regexp_matches(t, '{p}')) AS n_rows FROM d" for k, p in enumerate(_SQL_EXPLICIT + _SQL_RELATED, 1)))
 def lexicon_counts(spark, sf_dir):
-    return lexicon.pattern_counts(_t(spark, sf_dir, "documents"), _COUNTED)
-
-
-@query()
-def lexicon_counts_all(spark, sf_dir):
-    """:func:`lexicon_counts` with all explicit patterns; the SQL can't say the bounds within the last two."""
     return lexicon.pattern_counts(_t(spark, sf_dir, "documents"), lexicon.EXPLICIT + lexicon.RELATED)
 
 

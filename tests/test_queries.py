@@ -39,7 +39,7 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, name):
     df = QUERIES[name](spark, SF)
-    assert df.columns and len(df.collect()) >= 0
+    assert df.columns and df.count() > 0
 
 
 def test_entry(spark):
