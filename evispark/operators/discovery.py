@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions.urls import domain_allowed, normalize_url
+from evispark.session import write_table
 
 #: What a way of discovery adds to the keyword score.
 BOOSTS = {"seed": 1000, "web_search": 100, "search": 100}
@@ -77,14 +79,16 @@ def follow_redirects(edges: DataFrame, starts: DataFrame, most: int = 5) -> Data
 def reachable(links: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """``url, depth``: pages within ``depth`` links, breadth first; a page keeps its least depth.
 
-    ``links``: ``url, target``. Each round joins the last round's new pages only.
+    ``links``: ``url, target``. Each round joins the last round's new pages only and is written, so plans don't grow and
+    a lost executor costs one round's tasks; the rounds end where nothing is new.
     """
-    seen = starts.select("url").distinct().withColumn("depth", F.lit(0))
-    fresh = seen
+    rounds = [write_table(starts.select("url").distinct().withColumn("depth", F.lit(0)), "reached")]
     for d in range(1, depth + 1):
-        fresh = links.join(fresh.select("url"), "url", "left_semi").select(F.col("target").alias("url")).where("url is not null").distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionAll(fresh)
-    return seen
+        targets = links.join(rounds[-1].select("url"), "url", "left_semi").select(F.col("target").alias("url")).where("url is not null").distinct()
+        rounds.append(write_table(targets.join(reduce(DataFrame.unionAll, rounds), "url", "left_anti").withColumn("depth", F.lit(d)), "reached"))
+        if rounds[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionAll, rounds)
 
 
 def crawl(pages: DataFrame, starts: DataFrame, most: int, depth: int) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import platform
+from datetime import datetime, timezone
+from importlib import metadata
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.functions import urls
-from evispark.functions.text import document_id
+from evispark.functions.text import document_id, sanitize_cell
 from evispark.operators import chunking, discovery, manifest, notices, pages
 from evispark.sources import files
 
@@ -29,17 +32,63 @@ def analyze(spark: SparkSession, folder: str, out: str, source: str, elderly_car
     try:
         files.write_rows(tables["notices"], f"{out}/notices", "parquet")
         stored = spark.read.parquet(f"{out}/notices")
-        files.write_rows(stored.drop("language_evidence"), f"{out}/notices_csv", "csv")
+        files.write_rows(stored, f"{out}/notices_csv", "csv")
         years = notices.aggregate_by_year(stored).orderBy(F.asc_nulls_last("year"))
         files.write_rows(years, f"{out}/year_summary", "json")
     except BaseException as error:
         if Path(out).is_dir():  # what there is stays, sealed as failed
             seal(spark, out, {**facts, "status": "failed", "error": type(error).__name__})
         raise
-    seal(spark, out, {**facts, "status": "completed"})
+    inputs = {r["path"]: r["sha256"] for r in manifest.artifacts(spark, folder).orderBy("path").toLocalIterator()}
+    counts = {"n_raw_rows": files.read_rows(spark, folder).count(), "n_notices": stored.count()}
+    seal(spark, out, {**facts, **counts, "inputs": inputs, "status": "completed", "created_at": utc_now(), "environment": environment()})
     return years
 
 
+def utc_now() -> str:
+    """The time in UTC, to the second."""
+    return datetime.now(timezone.utc).replace(microsecond=0).isoformat()
+
+
+def environment() -> dict[str, str]:
+    """Versions of what a run was made with."""
+    names = ("pyspark", "pyarrow", "pandas", "numpy")
+    return {"python": platform.python_version(), **{n: metadata.version(n) for n in names}}
+
+
+def collect_run(spark: SparkSession, downloads: DataFrame, entities: DataFrame, out: str, limit: int | None = None, **chunking_options: int) -> dict[str, int]:
+    """:func:`collect` of the first ``limit`` entities by id (of all, if none) into ``out``, sealed with the counts of its tables.
+
+    Stops before any model is asked: a collect-only run. The status is ``completed_with_gaps`` where entities have gaps or
+    there are errors, ``failed`` where something raised; what was written by then stays.
+    """
+    if limit is not None and limit < 1:
+        raise ValueError("the limit must be at least 1")
+    chosen = entities.orderBy("id").limit(limit) if limit else entities
+    facts = {"mode": "collect-only", "limit": limit, "created_at": utc_now(), "environment": environment()}
+    try:
+        tables = collect(downloads.join(chosen.select(F.col("id").alias("municipality_id")), "municipality_id", "left_semi"), chosen, **chunking_options)
+        counts = {}
+        for name, table in tables.items():
+            files.write_rows(table, f"{out}/{name}", "parquet")
+            counts[name] = spark.read.parquet(f"{out}/{name}").count()
+    except BaseException as error:
+        if Path(out).is_dir():
+            seal(spark, out, {**facts, "status": "failed", "error": type(error).__name__})
+        raise
+    seal(spark, out, {**facts, "counts": counts, "status": "completed_with_gaps" if counts["errors"] or counts["gaps"] else "completed"})
+    return counts
+
+
+def export(views: dict[str, DataFrame], out: str, kind: str = "parquet") -> None:
+    """Write views below ``out``, a folder each; texts are made fit for a spreadsheet's cells in CSV."""
+    for name, view in views.items():
+        if kind == "csv":
+            texts = {f.name for f in view.schema if f.dataType.simpleString() == "string"}
+            view = view.select(*(sanitize_cell(F.col(c)).alias(c) if c in texts else F.col(c) for c in view.columns))
+        files.write_rows(view, f"{out}/{name}", kind)
+
+
 def seal(spark: SparkSession, folder: str, facts: dict) -> None:
     """Write ``manifest.json`` with the hashes of all artifacts of a run. A run's files are few; their contents stay put."""
     listed = {r["path"]: r["sha256"] for r in manifest.artifacts(spark, folder).orderBy("path").toLocalIterator()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.functions import dates, text, urls
-from evispark.operators import caches, chunking, discovery, lexicon, notices, quotes, rollup, views
+from evispark.operators import caches, checks, chunking, discovery, lexicon, notices, quotes, rollup, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -436,6 +436,37 @@ def pass_audit_union(spark, sf_dir):
     return u.unionByName(a, allowMissingColumns=True)
 
 
+@query("""SELECT chunk_id, min(document_id) AS document_id, min(municipality_id) AS municipality_id, min(category) AS category, count(quote) AS n_quotes, count_if(verified) AS n_verified, coalesce(bool_or(needs_review), false) OR count(DISTINCT category) > 1 AS needs_review
+FROM (SELECT DISTINCT ON (unit_id) * FROM units) GROUP BY chunk_id""")
+def classifications_view(spark, sf_dir):
+    return views.classifications(_t(spark, sf_dir, "units"))
+
+
+@query("""SELECT DISTINCT ON (id) id, municipality_id, url, requested_url, retrieved_at, raw_sha256, text_sha256, media_type, title, CAST(coalesce(len(pages), 0) AS INT) AS n_pages, coalesce(array_to_string(warnings, '|'), '') AS warnings, extractor FROM sources""")
+def sources_view(spark, sf_dir):
+    return views.sources(_t(spark, sf_dir, "sources"))
+
+
+@query("""SELECT DISTINCT ON (event_no) event_no, timestamp, municipality_id, url, method, outcome, title, score, depth FROM audit WHERE stage = 'discovery'""")
+def discovery_view(spark, sf_dir):
+    return views.discovery(_t(spark, sf_dir, "audit"))
+
+
+@query("""WITH c AS (SELECT DISTINCT category FROM units WHERE category IS NOT NULL ORDER BY 1 LIMIT 2) SELECT DISTINCT unit_id, category, category IS NOT NULL AND category IN (SELECT category FROM c) AS known_category FROM units""")
+def category_known(spark, sf_dir):
+    units = _t(spark, sf_dir, "units").select("unit_id", "category").distinct()
+    codebook = units.select(F.col("category").alias("label")).where("label is not null").distinct().orderBy("label").limit(2)
+    return checks.unknown_categories(units, codebook)
+
+
+@query("""WITH c AS (SELECT chunk_id, list(verified ORDER BY quote_index, unit_id) AS v, list(quote_index ORDER BY quote_index, unit_id) AS i FROM (SELECT DISTINCT chunk_id, quote_index, unit_id, verified FROM units) GROUP BY chunk_id)
+SELECT chunk_id, len(i) > 0 AND len(list_filter(i, lambda k: k < 0 OR k >= len(v) OR NOT coalesce(v[k + 1], false))) = 0 AS quotes_hold FROM c""")
+def quotes_hold(spark, sf_dir):
+    units = _t(spark, sf_dir, "units").select("chunk_id", "quote_index", "unit_id", "verified").distinct()
+    listed = units.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("quote_index", "unit_id", "verified"))).alias("q"))
+    return listed.select("chunk_id", checks.quotes_hold(F.col("q.quote_index"), F.transform("q", lambda x: x["verified"])).alias("quotes_hold"))
+
+
 # --- notices ---------------------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ whose pages are read one after another by their continuation token.
 
 from __future__ import annotations
 
+import importlib
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -22,15 +23,20 @@ class Provider(Protocol):
 
 
 class StoredResponses:
-    """Responses from JSON lines ``{"url", "status", "content_type", "body"}``; anything else isn't in the store."""
+    """Responses from JSON lines ``{"url", "status", "content_type", "body"}``; anything else isn't in the store.
 
-    def __init__(self, path: str):
+    Only the responses to the ``wanted`` addresses are held: those of one partition.
+    """
+
+    def __init__(self, path: str, wanted: set[str] | None = None):
         self.rows = {}
         for file in sorted(Path(path).rglob("*.jsonl")) if Path(path).is_dir() else [Path(path)]:
-            for line in file.read_text(encoding="utf-8").splitlines():
-                if line.strip():
-                    row = json.loads(line)
-                    self.rows.setdefault(row["url"], row)
+            with file.open(encoding="utf-8") as lines:
+                for line in lines:
+                    if line.strip():
+                        row = json.loads(line)
+                        if wanted is None or row["url"] in wanted:
+                            self.rows.setdefault(row["url"], row)
 
     def fetch(self, url: str) -> dict:
         if url not in self.rows:
@@ -38,6 +44,15 @@ class StoredResponses:
         return self.rows[url]
 
 
+def provider_of(options: dict, wanted: list[str]) -> Provider:
+    """The transport that the option ``provider`` names as ``module:factory`` (called with the options), or the stored responses."""
+    name = options.get("provider")
+    if not name:
+        return StoredResponses(options["store"], set(wanted))
+    module, _, factory = name.partition(":")
+    return getattr(importlib.import_module(module), factory)(dict(options))
+
+
 class _Part(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls
@@ -65,7 +80,7 @@ class _HttpReader(DataSourceReader):
         return [_Part(v) for v in hosts.values()] or [_Part([])]
 
     def read(self, partition) -> Iterator[tuple]:
-        provider = StoredResponses(self.options["store"])
+        provider = provider_of(self.options, partition.urls)
         for url in partition.urls:
             try:
                 r = provider.fetch(url)
@@ -75,7 +90,10 @@ class _HttpReader(DataSourceReader):
 
 
 class ReplayHttp(DataSource):
-    """``format("replay_http")`` with the options ``urls`` (a text file) and ``store`` (JSON lines, file or folder)."""
+    """``format("replay_http")`` with the options ``urls`` (a text file) and ``store`` (JSON lines, file or folder), or ``provider``.
+
+    ``provider`` is ``module:factory`` of any :class:`Provider`, a live transport for instance; it is made once a partition.
+    """
 
     @classmethod
     def name(cls):

@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evispark.operators import caches, chunking, discovery, lexicon, notices, pages, quotes, rollup, views
+from evispark import config
+from evispark.operators import caches, checks, chunking, discovery, lexicon, notices, pages, quotes, rollup, views
 
 
 @settings(max_examples=200, deadline=None)
@@ -281,5 +282,49 @@ def test_every_pattern_of_the_lexicon_is_counted(spark, tmp_path):
     plain = [re.sub(r"\s+", " ", t).lower() for t in texts if t is not None]
     patterns = lexicon.EXPLICIT + lexicon.RELATED
     want = {k: sum(bool(re.search(p, t)) for t in plain) for k, p in enumerate(patterns, 1)}
-    assert {r["pattern_no"]: r["n_rows"] for r in QUERIES["lexicon_counts_all"](spark, str(tmp_path)).collect()} == want
+    assert {r["pattern_no"]: r["n_rows"] for r in QUERIES["lexicon_counts"](spark, str(tmp_path)).collect()} == want
     assert want[12] and want[13] and want[12] != want[13]
+
+
+def test_checks_of_coded_records(spark):
+    book = spark.createDataFrame([("Ja", 1), ("Nej", 2), (None, 3)], "label string, known_category int")
+    rows = spark.createDataFrame([(1, "Ja"), (2, "Annat"), (3, None), (1, "Ja")], "id int, category string")
+    assert sorted((r["id"], r["known_category"]) for r in checks.unknown_categories(rows, book).collect()) == [(1, True), (1, True), (2, False), (3, False)]
+    held = spark.createDataFrame([([0, 1], [True, True]), ([0, 2], [True, True]), ([-1], [True]), ([], [True]), ([0], [None]), (None, [True]), ([0], None)], "i array<int>, v array<boolean>")
+    assert [r[0] for r in held.select(checks.quotes_hold(F.col("i"), F.col("v"))).collect()] == [True, False, False, False, False, False, False]
+    attributes = spark.createDataFrame([("c", 0, "a"), ("c", 1, "b"), ("c", 2, "a"), ("d", 0, "a"), ("d", 1, None)], "chunk_id string, position int, name string")
+    fields = spark.createDataFrame([("a",), ("a",), (None,)], "name string")
+    assert sorted((r["chunk_id"], r["name"] or "", r["issue"]) for r in checks.attribute_issues(attributes, fields, ["chunk_id"]).collect()) == [("c", "a", "repeated"), ("c", "b", "unknown"), ("d", "", "unknown")]
+    sets = spark.createDataFrame([(["a", "b"], ["b"]), (["a"], ["a", "c"]), (None, ["a"]), (["a"], None)], "r array<string>, c array<string>")
+    assert [r[0] for r in sets.select(checks.labels_missing(F.col("r"), F.col("c"))).collect()] == [["a"], [], [], ["a"]]
+    nested = spark.createDataFrame([(1, [("x",), ("",), (None,)]), (2, None), (3, [("y",)])], "n int, documents array<struct<sha256:string>>")
+    assert checks.documents_downloaded(nested).collect()[0][0] == 2 and checks.documents_downloaded(nested.where("false")).collect()[0][0] == 0
+    hosts = spark.createDataFrame([("8.8.8.8",), ("10.0.0.1",), ("127.0.0.1",), ("::1",), ("2001:4860:4860::8888",), ("169.254.1.1",), ("x",), (None,)], "a string")
+    assert [r[0] for r in hosts.select(checks.is_public_address("a")).collect()] == [True, False, False, False, True, False, False, False]
+
+
+def test_rounds_end_where_nothing_is_new(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", None)], "url string, target string")
+    assert sorted((r["url"], r["depth"]) for r in discovery.reachable(links, spark.createDataFrame([("a",), ("a",)], "url string"), 50).collect()) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_pdf_pages_come_from_a_provider(spark):
+    stored = spark.createDataFrame([("u", "%PDF-1 sida", "application/pdf"), ("v", "%PDF-1 trasig", "application/pdf")], "url string, html string, content_type string")
+
+    def texts(body):
+        if b"trasig" in body:
+            raise ValueError("encrypted")
+        return ["Text på första sidan, lång nog för gränsen.", ""]
+
+    got = {r["url"]: (r["kind"], r["text"], r["warnings"]) for r in pages.extract(stored, page_texts=texts).collect()}
+    assert got["u"] == ("pdf", "Text på första sidan, lång nog för gränsen.\n\f\n", ["page_2_sparse_or_scanned_needs_review"])
+    assert got["v"] == ("pdf", "", ["pdf_without_text"])
+    assert {r["warnings"][0] for r in pages.extract(stored).collect()} == {"pdf_without_text"}
+
+
+def test_attribute_and_methodology_views(spark):
+    rows = spark.createDataFrame([("c", [("a", "1", [0, 2]), ("b", None, [])]), ("d", None)], "chunk_id string, attributes array<struct<name:string,value:string,quote_indexes:array<int>>>")
+    assert [tuple(r) for r in views.attributes(rows).orderBy("name").collect()] == [("c", "a", "1", "0|2"), ("c", "b", None, "")]
+    study = config.check({"research": {"question": "Q", "labels": {"Ja": {"description": "yes"}, "Vet ej": {"description": "?", "conclusive": False}}, "unknown_label": "Vet ej"}})
+    items = [r["item"] for r in views.methodology(spark, study, {"pyspark": "4"}, "2024").collect()]
+    assert len(items) == 11 and items[-2:] == ["Label: Ja", "Label: Vet ej"]

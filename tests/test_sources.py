@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from evispark import config
 from evispark.__main__ import main
 from evispark.plans import pipelines
 from evispark.sources import files, replay
@@ -114,3 +115,57 @@ def test_streams(spark, tmp_path):
         assert got == [1, 2, 3] + ([4] if extra else [])
     batch = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["n"] for r in audit.sessions(batch, "timestamp", "stage", "30 minutes").collect()) == [1, 3]
+
+
+STUDY = {"research": {"question": "Q", "labels": {"Ja": {"description": "yes"}, "Vet ej": {"description": "?", "conclusive": False}}, "unknown_label": "Vet ej"}}
+
+
+def test_configuration_is_checked(tmp_path):
+    good = config.check(STUDY)
+    assert good.discovery.max_documents == 20 and good.extraction.chunk_chars == 14_000 and good.llm.passes == 3 and good.network.respect_robots is True
+    (tmp_path / "c.json").write_text(json.dumps({**STUDY, "llm": {"passes": 5}}))
+    assert config.load(str(tmp_path / "c.json")).llm.passes == 5
+    r = STUDY["research"]
+    bad = [
+        {}, {**STUDY, "x": {}}, {**STUDY, "llm": {"y": 1}}, {**STUDY, "llm": {"passes": 0}}, {**STUDY, "llm": {"passes": True}}, {**STUDY, "llm": {"models": []}}, {**STUDY, "network": {"timeout_seconds": 0}},
+        {**STUDY, "discovery": {"provider": "x"}}, {**STUDY, "extraction": {"chunk_chars": 100, "overlap_chars": 100}}, {"research": {**r, "unknown_label": "Nej"}}, {"research": {**r, "unknown_label": "Ja"}},
+        {"research": {**r, "labels": {**r["labels"], "Review": {"description": "x"}}}}, {"research": {**r, "labels": {**r["labels"], "Tid": {"description": "x", "requires_before_cutoff": True}}}}, {"research": {**r, "labels": []}},
+    ]
+    for given in bad:
+        with pytest.raises(ValueError):
+            config.check(given)
+    assert str(config.check({"research": {**r, "cutoff": "2024-05-01", "labels": {**r["labels"], "Tid": {"description": "x", "requires_before_cutoff": True}}}}).research.cutoff) == "2024-05-01"
+
+
+class Echo:
+    """A transport for the test below."""
+
+    def __init__(self, options):
+        self.status = int(options["status"])
+
+    def fetch(self, url):
+        return {"status": self.status, "content_type": "text/plain", "body": url}
+
+
+def test_any_transport_plugs_in(spark, tmp_path):
+    replay.register(spark)
+    (tmp_path / "urls.txt").write_text("https://a.se/1\nhttps://b.se/2\n")
+    df = spark.read.format("replay_http").options(urls=str(tmp_path / "urls.txt"), provider="tests.test_sources:Echo", status="203").load()
+    assert {(r["url"], r["status"], bytes(r["body"]).decode()) for r in df.collect()} == {(u, 203, u) for u in ("https://a.se/1", "https://b.se/2")}
+
+
+def test_collect_only_run(spark, tmp_path):
+    entities = spark.createDataFrame([("m", ["a.se"]), ("tom", ["b.se"])], "id string, domains array<string>")
+    page = "<html><title>T</title><body><main>" + "Text om krav. " * 20 + "</main></body></html>"
+    rows = [("m", "https://a.se/1", "https://a.se/1", page, "text/html", "h1", None)]
+    downloads = spark.createDataFrame(rows, "municipality_id string, requested_url string, url string, html string, content_type string, sha256 string, error string")
+    counts = pipelines.collect_run(spark, downloads, entities, str(tmp_path / "run"), chunk_chars=100, overlap_chars=20)
+    assert counts["documents"] == 1 and counts["chunks"] > 1 and counts["gaps"] == 1
+    told = json.loads((tmp_path / "run" / "manifest.json").read_text())
+    assert told["status"] == "completed_with_gaps" and told["counts"] == counts and told["environment"]["pyspark"]
+    assert pipelines.verify(spark, str(tmp_path / "run")).collect() == []
+    assert pipelines.collect_run(spark, downloads, entities, str(tmp_path / "first"), limit=1, chunk_chars=100, overlap_chars=20)["gaps"] == 0
+    with pytest.raises(ValueError):
+        pipelines.collect_run(spark, downloads, entities, str(tmp_path / "none"), limit=0)
+    pipelines.export({"v": spark.createDataFrame([("a\x01b", 1)], "t string, n int")}, str(tmp_path / "views"), "csv")
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "views" / "v")).collect()] == [("a b", "1")]
