@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import dates, text, urls
-from evispark.operators import caches, checks, chunking, discovery, lexicon, notices, quotes, rollup, views
+from evispark.operators import caches, checks, chunking, discovery, lexicon, notices, pages, quotes, rollup, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,10 +108,12 @@ def chunk_limit_flag(spark, sf_dir):
     return _chunked(spark, sf_dir).groupBy("document_id").agg(F.count("*").alias("n_windows"), F.bool_or("limited").alias("limited"))
 
 
-@query("""WITH c AS (SELECT DISTINCT document_id, "start", "end" FROM chunks), n AS (SELECT *, lead("start") OVER (PARTITION BY document_id ORDER BY "start", "end") AS next_start FROM c)
+@query("""WITH c AS (SELECT DISTINCT document_id, "start", "end" FROM chunks WHERE id IN (SELECT chunk_id FROM units)), n AS (SELECT *, lead("start") OVER (PARTITION BY document_id ORDER BY "start", "end") AS next_start FROM c)
 SELECT document_id, "start", "end", next_start FROM n WHERE next_start <= "start" OR next_start > "end" """)
 def chunk_overlap_check(spark, sf_dir):
-    return chunking.window_gaps(_t(spark, sf_dir, "chunks"))
+    """Gaps between the windows that quotations cite; all windows of a document together leave none."""
+    cited = _t(spark, sf_dir, "units").select(F.col("chunk_id").alias("id")).distinct()
+    return chunking.window_gaps(_t(spark, sf_dir, "chunks").join(cited, "id", "left_semi"))
 
 
 @query("""WITH p AS (SELECT DISTINCT id, unnest(pages, recursive := true) FROM sources WHERE media_type = 'application/pdf'), o AS (SELECT id, page, coalesce(sum("end" - "start" + 3) OVER (PARTITION BY id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, "end" - "start" AS n FROM p)
@@ -268,10 +270,13 @@ def error_page_windows(spark, sf_dir):
     return s.join(c, "id", "left").select("id", "error_page", F.coalesce("w", F.lit(False)).alias("windowed"))
 
 
-@query("""WITH p AS (SELECT DISTINCT id, unnest(pages, recursive := true) FROM sources WHERE media_type = 'application/pdf') SELECT id, page, 'page_' || page || '_sparse_or_scanned_needs_review' AS warning FROM p WHERE "end" - "start" < 100""")
+#: The query asks for pages below a length that some of the tables' pages have; the operator's own default is 30.
+_SPARSE = 300
+
+
+@query(f"""WITH p AS (SELECT DISTINCT id, unnest(pages, recursive := true) FROM sources WHERE media_type = 'application/pdf') SELECT id, page, 'page_' || page || '_sparse_or_scanned_needs_review' AS warning FROM p WHERE "end" - "start" < {_SPARSE}""")
 def sparse_pages(spark, sf_dir):
-    p = _t(spark, sf_dir, "sources").where("media_type = 'application/pdf'").select("id", F.explode("pages").alias("p")).select("id", "p.page", (F.col("p.end") - F.col("p.start")).alias("n")).distinct()
-    return p.where("n < 100").select("id", "page", F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit("_sparse_or_scanned_needs_review")).alias("warning"))
+    return pages.sparse_page_warnings(_t(spark, sf_dir, "sources").where("media_type = 'application/pdf'"), _SPARSE)
 
 
 @query("""SELECT DISTINCT id, CASE WHEN media_type ILIKE '%pdf%' OR url ILIKE '%.pdf' THEN 'pdf' WHEN media_type ILIKE '%html%' THEN 'html' ELSE 'unsupported' END AS kind FROM sources""")
@@ -290,14 +295,16 @@ def delivered_dedupe(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT DISTINCT ON (event_no) event_no, final_url, status FROM audit WHERE stage = 'fetch'), a AS (SELECT *, row_number() OVER (PARTITION BY final_url ORDER BY event_no) - 1 AS attempt FROM f)
-SELECT event_no, CAST(attempt AS INT) AS attempt, CAST(least(pow(2, attempt), 30) AS DOUBLE) AS wait_s FROM a WHERE status IN ('429', '500', '502', '503', '504')""")
+SELECT event_no, CAST(attempt AS INT) AS attempt, CAST(CASE event_no % 3 WHEN 0 THEN event_no % 50 WHEN 1 THEN 90 ELSE least(pow(2, attempt), 30) END AS DOUBLE) AS wait_s FROM a WHERE status IN ('429', '500', '502', '503', '504')""")
 def retry_schedule(spark, sf_dir):
     f = _t(spark, sf_dir, "audit").where("stage = 'fetch'").dropDuplicates(["event_no"])
-    from pyspark.sql import Window
-
     attempt = F.row_number().over(Window.partitionBy("final_url").orderBy("event_no")) - 1
     tried = f.withColumn("attempt", attempt).where(F.col("status").isin("429", "500", "502", "503", "504"))
-    return tried.select("event_no", "attempt", dates.retry_delay(F.lit(None).cast("string"), F.col("attempt"), F.col("timestamp")).alias("wait_s"))
+    # a third of the answers name seconds, a third a date 90 seconds ahead, the others nothing
+    date = F.date_format(F.col("timestamp") + F.expr("interval 90 seconds"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    header = F.when(F.col("event_no") % 3 == 0, (F.col("event_no") % 50).cast("string")).when(F.col("event_no") % 3 == 1, date)
+    now = F.date_trunc("second", "timestamp")
+    return tried.select("event_no", "attempt", dates.retry_delay(header, F.col("attempt"), now).alias("wait_s"))
 
 
 @query("""WITH f AS (SELECT DISTINCT ON (event_no) event_no, epoch_us("timestamp") AS t, lower(regexp_extract(final_url, '^https?://([^/?#:]+)', 1)) AS h FROM audit WHERE stage = 'fetch' AND NOT cache_hit)
@@ -535,63 +542,87 @@ def care_filter(spark, sf_dir):
 
 # --- literal inputs: pages, notices and chains that no table holds ---------------------------------------------------
 
-_PAGE = """<html><head><title>Avtal &amp; villkor</title><script>x()</script></head><body><nav><a href="/">Hem</a></nav><main><h1>Villkor</h1><p>Hemtjänst <b>i</b> Berga.</p><a href="/a.pdf?v=1">Karta</a><a href="underlag.PDF">Förfrågningsunderlag</a><a href="/a.pdf?v=1">Igen</a></main><footer>Kontakt</footer></body></html>"""
 _ADVERT = """<html><body><main><h1>Hemtjänst enligt LOV</h1><dl><dt>Upphandlande myndighet</dt><dd>Berga kommun</dd><dt>Diarienummer:</dt><dd>SN 2024/1</dd></dl><a href="https://berga.example/lov.pdf">Underlag</a><a href="/om">Om portalen</a></main></body></html>"""
-_LISTING = """<a href="/hitta-lov-uppdrag/annonser/berga/hemtjanst">A</a><a href="https://www.upphandlingsmyndigheten.se/hitta-lov-uppdrag/annonser/berga/hemtjanst/">A</a><a href="/hitta-lov-uppdrag/annonser/">alla</a><a href="https://annan.example/hitta-lov-uppdrag/annonser/x/y/">B</a>"""
 
 
 def _pages(spark, html: str, url: str = "https://berga.example/sida/") -> DataFrame:
     return spark.createDataFrame([(url, html)], "url string, html string")
 
 
-@query("""SELECT 'https://berga.example/sida/' AS url, 'Avtal & villkor' AS title, 'html' AS kind, 'Villkor' || chr(10) || 'Hemtjänst' || chr(10) || 'i' || chr(10) || 'Berga.' || chr(10) || 'Karta' || chr(10) || 'Förfrågningsunderlag' || chr(10) || 'Igen' AS text""")
-def page_text(spark, sf_dir):
-    from evispark.operators import pages
+def _source_pages(spark, sf_dir, body: str) -> DataFrame:
+    """A page for each source: ``body`` is an SQL expression over its row."""
+    s = _t(spark, sf_dir, "sources").select("id", "url", "requested_url", "municipality_id").distinct()
+    return s.select("url", F.expr(f"concat('<html><head><title>', id, ' &amp; villkor</title><script>x()</script></head><body><nav><a href=\"/\">Hem</a></nav>', {body}, '<footer>Kontakt</footer></body></html>')").alias("html")).dropDuplicates()
 
-    return pages.extract(_pages(spark, _PAGE)).select("url", "title", "kind", "text")
 
+_HOST = "regexp_extract(url, '^(https?://[^/]+)', 1)"
+_DISTINCT_SOURCES = "(SELECT DISTINCT id, url, requested_url, municipality_id FROM sources)"
 
-@query("""SELECT * FROM (VALUES (1, 'https://berga.example/', 'Hem'), (2, 'https://berga.example/a.pdf?v=1', 'Karta'), (3, 'https://berga.example/sida/underlag.PDF', 'Förfrågningsunderlag'), (4, 'https://berga.example/a.pdf?v=1', 'Igen')) v(link_no, target, label)""")
-def page_links(spark, sf_dir):
-    from evispark.operators import pages
 
-    return pages.anchors(_pages(spark, _PAGE)).select("link_no", "target", "label")
+@query(f"SELECT DISTINCT url, id || ' & villkor' AS title, 'html' AS kind, 'Villkor' || chr(10) || 'Hemtjänst' || chr(10) || 'i' || chr(10) || coalesce(municipality_id, '-') || chr(10) || id AS text FROM {_DISTINCT_SOURCES}")
+def page_text(spark, sf_dir):
+    html = """'<main><h1>Villkor</h1><p>Hemtjänst <b>i</b> ', coalesce(municipality_id, '-'), '</p><a href="', id, '">', id, '</a></main>'"""
+    return pages.extract(_source_pages(spark, sf_dir, html)).select("url", "title", "kind", "text")
 
 
-@query("""SELECT * FROM (VALUES (1, 'https://berga.example/sida/underlag.PDF'), (2, 'https://berga.example/a.pdf?v=1')) v(rank, target)""")
-def pdf_link_rank(spark, sf_dir):
-    from evispark.operators import pages
+@query(f"""SELECT DISTINCT url, x.link_no, x.target, x.label FROM (SELECT url, unnest([{{'link_no': 1, 'target': {_HOST} || '/', 'label': 'Hem'}}, {{'link_no': 2, 'target': requested_url, 'label': id}}, {{'link_no': 3, 'target': {_HOST} || '/docs/' || id || '.pdf?v=1', 'label': 'Karta'}}]) AS x FROM {_DISTINCT_SOURCES})""")
+def page_links(spark, sf_dir):
+    html = """'<a href="', requested_url, '">', id, '</a><a href="/docs/', id, '.pdf?v=1">Karta</a><a>utan adress</a>'"""
+    return pages.anchors(_source_pages(spark, sf_dir, html)).select("url", "link_no", "target", "label").distinct()
 
-    return pages.pdf_links(_pages(spark, _PAGE)).select("rank", "target")
 
+@query(f"""SELECT DISTINCT url, x.rank, x.target FROM (SELECT url, unnest([{{'rank': 1, 'target': {_HOST} || '/docs/' || id || '-b.PDF'}}, {{'rank': 2, 'target': {_HOST} || '/docs/' || id || '-a.pdf'}}, {{'rank': 3, 'target': {_HOST} || '/download/' || id}}]) AS x FROM {_DISTINCT_SOURCES} WHERE url IN (SELECT url FROM {_DISTINCT_SOURCES} GROUP BY url HAVING count(*) = 1))""")
+def pdf_link_rank(spark, sf_dir):
+    """Of pages that one source has: two sources of one address would make one page of two."""
+    html = """'<a href="/docs/', id, '-a.pdf">Karta</a><a href="/docs/', id, '-b.PDF">Förfrågningsunderlag</a><a href="/download/', id, '">Bilder</a><a href="/docs/', id, '-a.pdf">Igen</a><a href="/x">x</a>'"""
+    found = _source_pages(spark, sf_dir, html)
+    return pages.pdf_links(found.join(found.groupBy("url").count().where("count = 1").select("url"), "url", "left_semi")).select("url", "rank", "target")
 
-@query("""SELECT 1 AS rank, 'https://www.upphandlingsmyndigheten.se/hitta-lov-uppdrag/annonser/berga/hemtjanst/' AS target""")
-def lov_advert_urls(spark, sf_dir):
-    from evispark.operators import pages
 
-    return pages.advert_links(_pages(spark, _LISTING, "https://www.upphandlingsmyndigheten.se/hitta-lov-uppdrag/")).select("rank", "target")
+@query("""SELECT 'https://www.upphandlingsmyndigheten.se/hitta-lov-uppdrag/?k=' || municipality_id AS url, CAST(row_number() OVER (PARTITION BY municipality_id ORDER BY id) AS INT) AS rank, 'https://www.upphandlingsmyndigheten.se/hitta-lov-uppdrag/annonser/' || municipality_id || '/' || id || '/' AS target FROM (SELECT DISTINCT municipality_id, id FROM sources WHERE municipality_id IS NOT NULL)""")
+def lov_advert_urls(spark, sf_dir):
+    """A listing for each municipality with links to adverts, to the listing itself and to another site."""
+    base = "https://www.upphandlingsmyndigheten.se/hitta-lov-uppdrag/"
+    s = _t(spark, sf_dir, "sources").where("municipality_id is not null").select("municipality_id", "id").distinct()
+    link = F.concat(F.lit('<a href="/hitta-lov-uppdrag/annonser/'), "municipality_id", F.lit("/"), "id", F.lit('">A</a>'))
+    listings = s.groupBy("municipality_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", link.alias("a")))), lambda x: x["a"]), "").alias("links"))
+    html = F.concat(F.lit('<a href="/hitta-lov-uppdrag/annonser/">alla</a>'), "links", F.lit('<a href="https://annan.example/hitta-lov-uppdrag/annonser/x/y/">B</a>'), "links")
+    return pages.advert_links(listings.select(F.concat(F.lit(base + "?k="), "municipality_id").alias("url"), html.alias("html"))).select("url", "rank", "target")
 
 
 @query("""SELECT 'Hemtjänst enligt LOV' AS title, 'Berga kommun' AS buyer_name, 'SN 2024/1' AS reference, 'https://berga.example/lov.pdf' AS document_links""")
 def lov_adverts(spark, sf_dir):
-    from evispark.operators import pages
-
     return pages.adverts(_pages(spark, _ADVERT, "https://www.upphandlingsmyndigheten.se/hitta-lov-uppdrag/annonser/berga/hemtjanst/")).select("title", "buyer_name", "reference", F.array_join("document_links", "|").alias("document_links"))
 
 
-@query("""SELECT unnest(['https://a.example/1', 'https://a.example/2?x=1&y=2']) AS loc""")
+@query("""SELECT DISTINCT url || '?x=1&y=2' AS loc FROM sources WHERE municipality_id IS NOT NULL AND municipality_id <> (SELECT min(municipality_id) FROM sources)""")
 def sitemap_locs(spark, sf_dir):
-    from evispark.operators import pages
-
-    xml = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://a.example/1 </loc></url><s:url xmlns:s="x"><s:loc>https://a.example/2?x=1&amp;y=2</s:loc></s:url></urlset>'
-    bad = "<!DOCTYPE x><urlset><url><loc>https://b.example/</loc></url></urlset>"
-    return spark.createDataFrame([(xml,), (bad,)], "xml string").select(F.explode(pages.sitemap_locations(F.col("xml"))).alias("loc"))
+    """A sitemap for each municipality; that of the first has a document type and gives nothing."""
+    s = _t(spark, sf_dir, "sources").where("municipality_id is not null")
+    least = s.agg(F.min("municipality_id").alias("least"))
+    entry = F.concat(F.lit('<s:url xmlns:s="x"><s:loc> '), "url", F.lit("?x=1&amp;y=2 </s:loc></s:url>"))
+    maps = s.groupBy("municipality_id").agg(F.array_join(F.collect_set(entry), "").alias("entries")).crossJoin(F.broadcast(least))  # one row
+    xml = F.concat(F.when(F.col("municipality_id") == F.col("least"), "<!DOCTYPE x>").otherwise(""), F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "entries", F.lit("</urlset>"))
+    return maps.select(F.explode(pages.sitemap_locations(xml)).alias("loc")).distinct()
 
 
-@query("""SELECT 'N1' AS notice_id, '2021-03-04' AS publication_date, 'Berga | Dal' AS buyer_name, 'Berga' AS municipality_name, 'Hemtjänst' AS title, '85311100 | 85312100' AS cpv, 'Hemtjänst' || chr(10) || 'lott' AS description, 'https://d.example/u.pdf' AS document_urls, 'https://ted.europa.eu/sv/notice/-/detail/N1' AS source_url""")
+@query(r"""SELECT CAST(doc_id AS VARCHAR) AS notice_id, strftime(published_at, '%Y-%m-%d') AS publication_date, concat_ws(' | ', source, municipality_id) AS buyer_name, coalesce(municipality_id, '') AS municipality_name, 'Nr ' || doc_id AS title, '85311100 | 85312100' AS cpv, 'Nr ' || doc_id || chr(10) || 'lott ' || coalesce(lang, '-') AS description, 'https://d.example/' || doc_id || '.pdf' AS document_urls, 'https://ted.europa.eu/sv/notice/-/detail/' || doc_id AS source_url
+FROM documents WHERE published_at IS NOT NULL""")
 def ted_rows(spark, sf_dir):
-    notice = '{"publication-number": "N1", "publication-date": "2021-03-04+01:00", "notice-title": {"eng": "Care", "swe": ["Hemtjänst"]}, "buyer-name": ["Berga", "", "Dal"], "buyer-city": {"swe": "Berga"}, "classification-cpv": ["85311100", "85312100"], "title-lot": [null, "lott"], "document-url-lot": ["se https://d.example/u.pdf", "https://d.example/u.pdf"]}'
-    rows = notices.ted_rows(spark.createDataFrame([(notice,)], "notice string"))
+    """A notice in JSON for each dated document: language maps, lists with empty members, addresses within text."""
+    d = _t(spark, sf_dir, "documents").where("published_at is not null")
+    number = F.col("doc_id").cast("string")
+    notice = F.struct(
+        number.alias("publication-number"),
+        F.concat(F.date_format("published_at", "yyyy-MM-dd"), F.lit("+01:00")).alias("publication-date"),
+        F.struct(F.lit("Care").alias("eng"), F.array(F.concat(F.lit("Nr "), number)).alias("swe")).alias("notice-title"),
+        F.array("source", F.lit(""), "municipality_id").alias("buyer-name"),
+        F.struct(F.col("municipality_id").alias("swe")).alias("buyer-city"),
+        F.array(F.lit("85311100"), F.lit("85312100")).alias("classification-cpv"),
+        F.array(F.lit(None).cast("string"), F.concat(F.lit("lott "), F.coalesce("lang", F.lit("-")))).alias("title-lot"),
+        F.array(F.concat(F.lit("se https://d.example/"), number, F.lit(".pdf nu"))).alias("document-url-lot"),
+    )
+    rows = notices.ted_rows(d.select(F.to_json(notice).alias("notice")))
     return rows.select("notice_id", "publication_date", "buyer_name", "municipality_name", "title", "cpv", "description", F.array_join("document_urls", "|").alias("document_urls"), "source_url")
 
 
@@ -602,10 +633,16 @@ def ted_flatten(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", flatten_json("props").alias("flat"))
 
 
-@query("""SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 1), ('d', 2)) v(url, depth)""")
+@query("""WITH s AS (SELECT municipality_id, id, row_number() OVER (PARTITION BY municipality_id ORDER BY id) AS k FROM (SELECT DISTINCT municipality_id, id FROM sources WHERE municipality_id IS NOT NULL))
+SELECT municipality_id || '/' || id AS url, CAST(floor(log2(k)) AS INT) AS depth FROM s WHERE k < 16""")
 def crawl_reachability(spark, sf_dir):
-    links = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("d", "a"), ("d", "e"), ("c", "d")], "url string, target string")
-    return discovery.reachable(links, spark.createDataFrame([("a",)], "url string"), 2)
+    """The sources of each municipality as a tree of links, two from each, with links back; walked from its first to depth 3."""
+    s = _t(spark, sf_dir, "sources").where("municipality_id is not null").select("municipality_id", "id").distinct()
+    ranked = s.withColumn("k", F.row_number().over(Window.partitionBy("municipality_id").orderBy("id"))).select("municipality_id", F.concat("municipality_id", F.lit("/"), "id").alias("url"), "k")
+    child = ranked.select("municipality_id", F.col("url").alias("target"), F.expr("k div 2").alias("k"))
+    down = ranked.join(child, ["municipality_id", "k"]).select("url", "target")
+    back = down.select(F.col("target").alias("url"), F.col("url").alias("target"))
+    return discovery.reachable(down.unionAll(back), ranked.where("k = 1").select("url"), 3)
 
 
 @query("""SELECT * FROM (VALUES ('m', 1, 'a', 0, 5, true), ('m', 2, 'c', 1, 9, true), ('m', 3, 'd', 2, 7, false), ('m', 4, 'b', 1, 1, true)) v(entity, step, url, depth, score, found)""")
