@@ -24,7 +24,9 @@ def _repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _repeated_lines(spark, sf_dir).select("municipality_id", "line")
+    """Counted over documents, so clusters need not be known."""
+    lines = site_lines.document_lines(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "sources"))
+    return site_lines.repeated_of(lines).select("municipality_id", "line")
 
 
 def p1_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
