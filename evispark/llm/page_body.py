@@ -58,9 +58,10 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = {_ALL_PAGES: WITHIN}
         for x, outside in zip(lines, outside_prose(lines, meta["title"])):
             flags[x.template] = flags.get(x.template, 0) | (OUTSIDE if outside else WITHIN)
-            for asked in (x.core, x.begin):
-                if asked:
-                    flags.setdefault(asked, 0)
+            if x.core:
+                flags.setdefault(x.core, 0)
+            if x.begin and x.open:  # asked of lines that name or count something only
+                flags.setdefault(x.begin, 0)
         if meta["title"]:
             x = reader.line(meta["title"])
             for of_title in (x.template, x.begin):
